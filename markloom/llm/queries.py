@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, quality_rules, token_counts
+from . import byte_bpe, decontaminate, quality_rules, simhash, token_counts
 from .common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -25,5 +29,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_token_counts, op7_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_byte_bpe, op6_token_counts, op7_quality_rules, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.SQL}
