@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, quality_rules, simhash, token_counts
+from . import byte_bpe, decontaminate, quality_rules, simhash, token_counts, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,5 +33,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_byte_bpe, op6_token_counts, op7_quality_rules, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_warc, op4_byte_bpe, op6_token_counts, op7_quality_rules, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
