@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, pii, quality_rules, simhash, token_counts, warc
+from . import byte_bpe, decontaminate, pii, quality_classifier, quality_rules, simhash, token_counts, warc
 from .common import table
 
 #: Stands for a secret of whoever runs this.
@@ -32,6 +32,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
 
@@ -40,5 +44,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_warc, op4_byte_bpe, op6_token_counts, op7_quality_rules, op9_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_warc, op4_byte_bpe, op6_token_counts, op7_quality_rules, op8_quality_classifier, op9_pii, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
