@@ -78,12 +78,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """df.mapInArrow for a function of one batch; long batches come in slices of SLICE_BYTES."""
+def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = SLICE_BYTES) -> DataFrame:
+    """df.mapInArrow for a function of one batch; long batches come in slices of about `size` bytes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size):
                 if (out := f(piece)) is not None and out.num_rows:
                     yield out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, pii, quality_classifier, quality_rules, simhash, token_counts, warc
+from . import byte_bpe, decontaminate, line_dedup, pii, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
 from .common import table
 
 #: Stands for a secret of whoever runs this.
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -48,5 +52,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_warc, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_quality_classifier, op9_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_quality_classifier, op9_pii, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
