@@ -1,12 +1,59 @@
-"""A cleaning pipeline over documents."""
+"""A cleaning pipeline over documents, counted as part of the llm subpackage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the shared
+folder and reads it back as the next stage's docs. All but the last return the columns of documents.
+
+1. quality_rules: rejected documents go (short, repetitive, or depleted by frequent lines).
+2. line_dedup: lines that are near-copies of an earlier line go; documents left without a word go.
+3. simhash: of each group of near-duplicates the document with the smallest doc_id stays.
+4. decontamination: documents that hold a benchmark passage go.
+5. byte_bpe: what is left is encoded, decoded again and reported.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from markloom.llm import byte_bpe, decontaminate, line_dedup, quality_rules, simhash
+from markloom.llm.common import cut, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shorter = line_dedup.deduplicate(docs)
+    return shorter.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("byte_bpe", token_stage),
+]
+#: SimHash and edit distances over all lines aren't for SQL: tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
