@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from markloom.functions import text as T
 from markloom.operators import analytics, conversation, diagnostics, dynamics, eventlog, evidence, files, graph, ledger
 from markloom.operators import retrieval as R
 from markloom.plans.batch import BasketGraph, TextGraph
+from markloom.session import ship_package
 from markloom.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +24,12 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with its oracle."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -303,7 +310,7 @@ def edge_listing(spark, d):
     return diagnostics.edge_listing(graph.pair_support(g.marks), g.edges, diagnostics.node_listing(g.marks, g.edges))
 
 
-@query(f"{_BASKET}, {_DIAG} select s.scope, s.a, s.b, s.co_count, fa.f as frequency_a, fb.f as frequency_b, n as active_records, s.weight as static_weight, round(raw, 4) as recomputed_npmi, sources from supported s join raw r on r.scope = s.scope and r.a = s.a and r.b = s.b join f fa on fa.scope = s.scope and fa.mark = s.a join f fb on fb.scope = s.scope and fb.mark = s.b join n on n.scope = s.scope")
+@query(f"{_BASKET}, {_DIAG} select s.scope, s.a, s.b, s.co_count, fa.f as frequency_a, fb.f as frequency_b, n as active_records, s.weight as static_weight, round(raw, 4) + 0.0 as recomputed_npmi, sources from supported s join raw r on r.scope = s.scope and r.a = s.a and r.b = s.b join f fa on fa.scope = s.scope and fa.mark = s.a join f fb on fb.scope = s.scope and fb.mark = s.b join n on n.scope = s.scope")
 def edge_detail(spark, d):
     g = BasketGraph(spark, d)
     return diagnostics.edge_details(g.marks, g.counts, graph.pair_support(g.marks), g.edges, diagnostics.pair_sources(graph.pair_evidence(g.marks), g.records))
@@ -583,7 +590,7 @@ def retention_split(spark, d):
     return eventlog.retention_split(rows, rows.agg(F.max("ts")).head()[0])
 
 
-@query(f"""with {A.LOG}, names as (select trace_id, event, min((ts, event_id)) as at from log group by all), listed as (select trace_id, string_agg(event, ',' order by at, event) as events from names group by trace_id),
+@query(f"""with {A.LOG}, names as (select trace_id, event, min((ts, event_id)) as first_at from log group by all), listed as (select trace_id, string_agg(event, ',' order by first_at, event) as events from names group by trace_id),
 c as (select trace_id, count(*) as event_count, max(ts) as last_ts, arg_max(k, (ts, event_id)) filter (event = 'purchase') as k, bool_or(event = 'purchase') as ended, bool_or(event = 'signup') as started from log group by trace_id)
 select trace_id, event_count, events, last_ts, case when ended and k % 2 = 0 then 'delivered' when ended then 'failed' when started then 'incomplete' else 'passive' end as status from c join listed using (trace_id)""")
 def trace_summary(spark, d):
@@ -613,7 +620,7 @@ def budget_state(spark, d):
     return ledger.budget_state(calls, ceilings)
 
 
-@query("select o_orderkey, ceil((o_custkey * 3.5 + o_orderkey * 12.25) / 1000000 * 1000000000)::bigint as nano from orders")
+@query("select o_orderkey, o_custkey * 3500 + o_orderkey * 12250 as nano from orders")
 def exact_cost(spark, d):
     return A.read(spark, d, "orders").select("o_orderkey", T.cost_nano(F.col("o_custkey"), F.col("o_orderkey"), "3.5", "12.25").alias("nano"))
 

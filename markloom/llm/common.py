@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markloom.session import ship_package
+
 #: Rows that one Arrow batch hands to a Python worker; texts are a few kB, some much longer.
 BATCH_ROWS = 256
 #: Texts of a batch are worked on in slices of about so many bytes.
@@ -29,14 +27,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps what a Python worker gets at once small (a batch of long texts must fit in its memory), and
     sends this package to executors that don't have it on their path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    home, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    if str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_markloom_sent", False):
-        return
-    made = tempfile.mkdtemp(prefix="markloom-")  # on the driver, whose file server hands the archive out
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    shutil.copytree(home / "markloom", f"{made}/at/markloom", ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(f"{made}/markloom-package", "zip", f"{made}/at"))
-    sc._markloom_sent = True
+    ship_package(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -11,8 +11,8 @@ group of equal variants only its earliest line matters, so a group gives a row f
 pairs. What the join finds is verified word by word.
 
 Only lines that can have a partner emit variants: with one edit either the first half of the shorter
-line or its second half is shared by both, so lines whose half keys (three at most) nobody else has are
-passed over. A hot line, half or variant stays spread: groups are partial minima and counts before the
+line or its second half is shared by both, so lines whose half keys (three as a rule) no other line has
+are passed over. Only variants that two lines have go on to be grouped. A hot line, half or variant stays spread: groups are partial minima and counts before the
 shuffle, and their joins are plain equality joins, which adaptive execution splits.
 
 Defined results: null texts have no lines and stay null; rows that repeat doc_id and text count as one
@@ -33,8 +33,8 @@ from .common import bounded_batches, cut, map_rows
 MIN_WORDS, NEAR_WORDS = 5, 8
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _LAST = (1 << 63) - 1
-_LINES = "d bigint, t bigint, line int, h binary, n int, keys array<bigint>"
-_VARIANTS = "h binary, v bigint, p int, d bigint, t bigint, line int, words binary"
+_LINES = "d bigint, t bigint, line int, h binary, id bigint, keys array<bigint>"
+_VARIANTS = "id bigint, v bigint, p int, words binary"
 
 
 def normal(line: bytes) -> list[bytes]:
@@ -86,27 +86,28 @@ def _lines(docs: DataFrame) -> DataFrame:
             for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                 words = normal(line)
                 if len(words) >= MIN_WORDS:
-                    rows.append((d, t, i, xxhash.xxh3_128_digest(b" ".join(words)), len(words), half_keys(words) if len(words) >= NEAR_WORDS else None))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                    h = xxhash.xxh3_128_digest(b" ".join(words))
+                    rows.append((d, t, i, h, int.from_bytes(h[:8], "big", signed=True), half_keys(words) if len(words) >= NEAR_WORDS else None))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["d", "t", "line", "h", "n", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["d", "t", "line", "h", "id", "keys"])
 
     return map_rows(docs, use, _LINES)
 
 
 def _variants(docs: DataFrame) -> DataFrame:
-    """docs(text, wanted: array of (line, h), d, t) as variant rows; the whole line's row also has its words."""
+    """docs(text, wanted: array of (line, id)) as variant rows; the whole line's row also has its words."""
 
     def use(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, wanted, d, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             lines = text.encode("utf-8", "surrogatepass").split(b"\n")
             for w in wanted:
                 words = normal(lines[w["line"]])
-                rows += [(w["h"], v, p, d, t, w["line"], b" ".join(words) if p < 0 else None) for v, p in variants(words)]
-        types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], [x.split()[0] for x in _VARIANTS.split(", ")])
+                rows += [(w["id"], v, p, b" ".join(words) if p < 0 else None) for v, p in variants(words)]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["id", "v", "p", "words"])
 
     return map_rows(docs, use, _VARIANTS)
 
@@ -115,30 +116,39 @@ def _place() -> Column:
     return F.struct("d", "t", "line")
 
 
-def _near(first: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(h) of the distinct lines with an earlier line at one edit; first: (h, place, keys)."""
-    keys = first.where("keys is not null").select("h", F.explode("keys").alias("key"))
-    shared = keys.groupBy(F.col("key").alias("shared")).agg(F.count("*").alias("lines")).where("lines > 1").select("shared")
-    candidates = keys.join(shared, F.col("key") == F.col("shared")).select(F.col("h").alias("ch")).distinct()
-    wanted = first.join(candidates, F.col("h") == F.col("ch"), "left_semi").groupBy(F.col("place.d").alias("wd"), F.col("place.t").alias("wt")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "h")).alias("wanted"))
-    texts = keyed.join(wanted, (F.col("d") == F.col("wd")) & (F.col("t") == F.col("wt"))).select("text", "wanted", "d", "t")
-    v = cut(_variants(texts).dropDuplicates(["h", "p"]), "line-variants")
-    out = v.where("p >= 0").select("v", "p", "h", _place().alias("place"))
-    whole = v.where("p < 0").select(F.col("v").alias("wv"), F.col("h").alias("wh"), _place().alias("wplace"))
-    groups = out.groupBy(F.col("v").alias("gv"), F.col("p").alias("gp")).agg(F.min(F.struct("place", "h")).alias("least"), F.count("*").alias("lines")).where("lines > 1")
-    replaced = out.join(groups, (F.col("v") == F.col("gv")) & (F.col("p") == F.col("gp"))).where("place > least.place").select("h", F.col("least.h").alias("partner"))
-    longer = out.join(whole, F.col("v") == F.col("wv")).where("wplace < place").select("h", F.col("wh").alias("partner"))
-    least = out.groupBy(F.col("v").alias("lv")).agg(F.min(F.struct("place", "h")).alias("least"))
-    shorter = whole.join(least, F.col("wv") == F.col("lv")).where("least.place < wplace").select(F.col("wh").alias("h"), F.col("least.h").alias("partner"))
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that two different lines have at least: bounded partial sums, whatever a key's rows."""
+    return rows.groupBy(F.col(key).alias("shared")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shared")
+
+
+def _near(lines: DataFrame, first: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(id) of the distinct lines with an earlier line at one edit; first: (h, id, place).
+
+    id: half of a line's 128-bit hash; lines that share one are told apart when pairs are verified."""
+    keys = lines.where("keys is not null").select("id", F.explode("keys").alias("key"))
+    shared = cut(_several(keys, "key"), "line-halves")
+    candidates = keys.join(shared, F.col("key") == F.col("shared")).select(F.col("id").alias("ci")).distinct()
+    placed = cut(first.join(candidates, F.col("id") == F.col("ci"), "left_semi").select("id", "place"), "line-candidates")
+    wanted = placed.groupBy(F.col("place.d").alias("wd"), F.col("place.t").alias("wt")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "id")).alias("wanted"))
+    texts = keyed.join(wanted, (F.col("d") == F.col("wd")) & (F.col("t") == F.col("wt"))).select("text", "wanted")
+    every = cut(_variants(texts), "line-variants")
+    v = cut(every.select("id", "v", "p").join(_several(every, "v"), F.col("v") == F.col("shared")).drop("shared").join(placed.withColumnRenamed("id", "pi"), F.col("id") == F.col("pi")).drop("pi"), "line-shared-variants")
+    out = v.where("p >= 0")
+    whole = v.where("p < 0").select(F.col("v").alias("wv"), F.col("id").alias("wi"), F.col("place").alias("wplace"))
+    groups = out.groupBy(F.col("v").alias("gv"), F.col("p").alias("gp")).agg(F.min(F.struct("place", "id")).alias("least"))
+    replaced = out.join(groups, (F.col("v") == F.col("gv")) & (F.col("p") == F.col("gp"))).where("place > least.place").select("id", F.col("least.id").alias("partner"))
+    longer = out.join(whole, F.col("v") == F.col("wv")).where("wplace < place").select("id", F.col("wi").alias("partner"))
+    least = out.groupBy(F.col("v").alias("lv")).agg(F.min(F.struct("place", "id")).alias("least"))
+    shorter = whole.join(least, F.col("wv") == F.col("lv")).where("least.place < wplace").select(F.col("wi").alias("id"), F.col("least.id").alias("partner"))
     pairs = replaced.union(longer).union(shorter).distinct()
-    words = v.where("p < 0").select(F.col("h").alias("of"), "words")
-    sides = pairs.join(words.withColumnRenamed("words", "a"), F.col("h") == F.col("of")).drop("of").join(words.withColumnRenamed("words", "b"), F.col("partner") == F.col("of")).select("h", "a", "b")
+    words = every.where("p < 0").select(F.col("id").alias("of"), "words").distinct()
+    sides = pairs.join(words.withColumnRenamed("words", "a"), F.col("id") == F.col("of")).drop("of").join(words.withColumnRenamed("words", "b"), F.col("partner") == F.col("of")).select("id", "a", "b")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["h"])
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["id"])
 
-    return map_rows(sides, verify, "h binary").distinct()
+    return map_rows(sides, verify, "id bigint").distinct()
 
 
 def _removed(docs: DataFrame) -> DataFrame:
@@ -146,10 +156,10 @@ def _removed(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
     lines = cut(_lines(keyed), "line-rows")
-    first = cut(lines.groupBy("h").agg(F.min(_place()).alias("place"), F.first("keys").alias("keys")), "line-first")
-    near = cut(_near(first, keyed), "line-near").select(F.col("h").alias("nh"))
-    judged = first.join(near, F.col("h") == F.col("nh"), "left").select(F.col("h").alias("fh"), "place", F.col("nh").isNotNull().alias("near"))
-    gone = lines.join(judged, F.col("h") == F.col("fh")).where(F.col("near") | (_place() > F.col("place")))
+    first = cut(lines.groupBy("h").agg(F.min(_place()).alias("place"), F.first("id").alias("id")), "line-first")
+    near = cut(_near(lines, first, keyed), "line-near").select(F.col("id").alias("ni"))
+    judged = first.join(near, F.col("id") == F.col("ni"), "left").select(F.col("h").alias("fh"), "place", F.col("ni").isNotNull().alias("near"))
+    gone = lines.select("h", "d", "t", "line").join(judged, F.col("h") == F.col("fh")).where(F.col("near") | (_place() > F.col("place")))
     return gone.groupBy(F.col("d").alias("rd"), F.col("t").alias("rt")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 RETENTION_SECONDS = 86_400
 ZERO = "0" * 64
@@ -42,7 +43,7 @@ def chained(rows: DataFrame, log: str = "log_id") -> DataFrame:
     return rows.select(F.col(log).cast("string"), F.col("sequence").cast("long"), "timestamp", "event", "fields").groupBy(log).applyInPandas(fold, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _expected(sequence: pd.Series, timestamp: pd.Series, event: pd.Series, fields: pd.Series, previous: pd.Series) -> pd.Series:
     def one(*r):
         try:
