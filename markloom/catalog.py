@@ -196,8 +196,9 @@ def retrieve_concept(spark, d):
     return R.retrieve_concept(g.queries, g.records, g.marks, g.directed, g.context, g.counts)
 
 
-_TERMS = f"""terms0 as (select query_id, scope, list_distinct(list_filter(regexp_extract_all(trim(regexp_replace(regexp_replace(lower(text), '-+', ' ', 'g'), '\\s+', ' ', 'g')), '[a-z][a-z0-9_]*'), lambda w: length(w) > 1 and w not in ({", ".join(f"'{w}'" for w in T.STOP)}))) as t from
+_TERMS = f"""words0 as (select query_id, scope, list_filter(regexp_extract_all(trim(regexp_replace(regexp_replace(lower(text), '-+', ' ', 'g'), '\\s+', ' ', 'g')), '[a-z][a-z0-9_]*'), lambda w: length(w) > 1 and w not in ({", ".join(f"'{w}'" for w in T.STOP)})) as ws from
   (select query_id, scope, text from queries where regexp_matches(text, '^[\\x00-\\x7F]*$') and not regexp_matches(text, '(?i)\\b(what|how|where|which)\\b|please\\s'))),
+terms0 as (select query_id, scope, list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:{T.MAX_TERMS}] as t from words0),
 terms as (select query_id, scope, unnest(t) as term from terms0),
 idx as (select distinct scope, record_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from records where active and regexp_matches(text, '^[\\x00-\\x7F]*$')),
 tdf as (select i.scope, i.term, count(*) as df from idx i semi join terms t on t.scope = i.scope and t.term = i.term group by all),
