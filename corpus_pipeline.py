@@ -5,7 +5,8 @@ folder and reads it back as the next stage's docs. All but the last return the c
 
 1. quality_rules: rejected documents go (short, repetitive, or depleted by frequent lines).
 2. line_dedup: lines that are near-copies of an earlier line go; documents left without a word go.
-3. simhash: of each group of near-duplicates the document with the smallest doc_id stays.
+3. near_duplicates: of each group of near-duplicates (Jaccard similarity of 5-word shingles of 0.8 or more, in
+   steps) the document with the smallest doc_id stays.
 4. decontamination: documents that hold a benchmark passage go.
 5. byte_bpe: what is left is encoded, decoded again and reported.
 """
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markloom.llm import byte_bpe, decontaminate, line_dedup, quality_rules, simhash
+from markloom.llm import byte_bpe, decontaminate, line_dedup, near_duplicates, quality_rules
 from markloom.llm.common import cut, table
 
 
@@ -30,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return near_duplicates.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,11 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
-    ("simhash", near_duplicate_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
     ("byte_bpe", token_stage),
 ]
-#: SimHash and edit distances over all lines aren't for SQL: tests/llm compares run() with brute force.
+#: Similar sets and edit distances over all lines aren't for SQL: tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
