@@ -511,9 +511,8 @@ def status_roll_up(spark, d):
 @query()
 def evidence_greedy(spark, d):
     g = TextGraph(spark, d)
-    from pyspark.sql import Window as W
-
-    pool = g.ranked.withColumn("baseline_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("direct").desc(), F.col("score").desc(), F.col("record_id").desc()))).where("baseline_rank <= 20")
+    rank = F.struct((-F.col("direct")).alias("d"), (-F.col("score")).alias("s"), (-F.col("record_id")).alias("r"))
+    pool = g.ranked.withColumn("baseline_rank", rank)
     index = R.record_terms(g.records)
     terms = g.queries.select("query_id", "scope", F.explode(T.focus_terms(F.col("text"))).alias("term"))
     df = index.join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count("*").alias("df"))
