@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the shared
 folder and reads it back as the next stage's docs. All but the last return the columns of documents.
 
-1. quality_rules: rejected documents go (short, repetitive, or depleted by frequent lines).
+1. quality_rules: rejected documents go (short, repetitive, or depleted by frequent lines); the others lose their
+   host's frequent lines.
 2. line_dedup: lines that are near-copies of an earlier line go; documents left without a word go.
 3. near_duplicates: of each group of near-duplicates (Jaccard similarity of 5-word shingles of 0.8 or more, in
    steps) the document with the smallest doc_id stays.
@@ -22,12 +23,16 @@ from markloom.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs)
+    return _counted(quality_rules.clean(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shorter = line_dedup.deduplicate(docs)
-    return shorter.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _counted(line_dedup.deduplicate(docs))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as the texts are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

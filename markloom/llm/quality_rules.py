@@ -4,17 +4,18 @@ Words are runs of anything but ASCII white space. The base rules fail a document
 words, or one where over `MAX_REPEAT` % of the words lie in 3-word windows that the text repeats.
 
 Line frequency: lines are normalised (A-Z lower-cased, digits as 0, other ASCII signs dropped, white space
-joined) and hashed (XXH64). For each host, a line counts the distinct documents that hold it; documents
-that hold it between the same two lines count once, so that copies of a page, which other operators
-handle, don't turn its whole text into frequent lines. Lines above the limit (over `LIMIT_DOCS` documents
-and over `LIMIT_SHARE` of the host's) are removed. A document is depleted, and rejected, if less than
-`MIN_KEPT` of its words are left.
+joined) and hashed (XXH64). For each host, a line counts the distinct documents that hold it; rows of one host
+with the same text are one document. A line of over `LIMIT_DOCS` documents is frequent, whatever the size of the
+host, and removed from all of them but the earliest (smallest doc_id, nulls last, then the text's MD5), so that a
+passage that stands on many pages is kept once and a group of near copies isn't lost whole. A document is depleted,
+and rejected, if less than `MIN_KEPT` of its words are left.
 
-A hot host or line is spread: counts are partial sums before any shuffle, on keys that hold the
-neighbours' hash, and what is joined on (host, line) only has lines above the limit on one side.
+A hot host or line is spread: a document's vote is aggregated on (host, line, text) first and only then counted by
+(host, line), in partial sums; what is joined on (host, line) only has frequent lines on one side.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
-repeated rows are judged row by row, alike; other columns are handed through.
+repeated rows are judged row by row, alike; other columns are handed through; an empty table gives no rows. Long
+texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, map_rows
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-LIMIT_DOCS, LIMIT_SHARE, MIN_KEPT = 10, 0.1, 0.5
+LIMIT_DOCS, MIN_KEPT = 10, 0.5
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: A-Z as a-z, digits as 0, other ASCII signs as spaces.
 _NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _BASE = "doc_id bigint, host string, digest binary, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
-_LINES = "lines array<struct<hash: bigint, beside: bigint, words: int>>"
-_LINE = pa.list_(pa.struct([("hash", pa.int64()), ("beside", pa.int64()), ("words", pa.int32())]))
+_LINES = "lines array<struct<hash: bigint, words: int>>"
+_LINE = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32())]))
 
 
 def repeated_words(ids: np.ndarray, width: int = 3) -> int:
@@ -82,16 +83,12 @@ def normal_lines(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def distinct_lines(text: str | None) -> list[dict]:
-    """The distinct lines of a text, each with a hash of the lines around its first place and its words in all."""
-    lines, found = normal_lines(text), {}
-    for i, (h, n) in enumerate(lines):
-        if h in found:
-            found[h]["words"] += n
-        else:
-            around = f"{lines[i - 1][0] if i else ''} {lines[i + 1][0] if i + 1 < len(lines) else ''}"
-            found[h] = {"hash": h, "beside": xxhash.xxh64_intdigest(around) >> 1, "words": n}
-    return list(found.values())
+def distinct_lines(text: str | None) -> list[tuple[int, int]]:
+    """(hash, words in all) of the distinct lines of a text."""
+    found: dict[int, int] = {}
+    for h, n in normal_lines(text):
+        found[h] = found.get(h, 0) + n
+    return list(found.items())
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -111,54 +108,50 @@ def _measured(docs: DataFrame) -> DataFrame:
     return cut(map_rows(rows, use, f"{_BASE}, {_LINES}").withColumn("row_no", F.monotonically_increasing_id()), "quality")
 
 
-def _frequent(measured: DataFrame, limit_docs: int, limit_share: float) -> DataFrame:
-    """(host, hash) of the lines above the limit."""
-    lines = measured.select("host", F.explode("lines").alias("l")).select("host", "l.hash", "l.beside")
-    counted = lines.groupBy("host", "hash", "beside").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.sum("one").alias("n")).where(F.col("n") > limit_docs)
-    hosts = measured.groupBy(F.col("host").alias("host_b")).agg(F.count("*").alias("docs"))
-    return counted.join(hosts, F.expr("host <=> host_b")).where(F.col("n") > limit_share * F.col("docs")).select("host", "hash")
+def _frequent(measured: DataFrame, limit_docs: int) -> DataFrame:
+    """(bad_host, bad_hash, first) of the frequent lines, with the document that keeps them."""
+    lines = measured.select("host", "doc_id", "digest", F.explode("lines.hash").alias("hash"))
+    votes = lines.groupBy("host", "hash", "digest").agg(F.min("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    counted = votes.groupBy(F.col("host").alias("bad_host"), F.col("hash").alias("bad_hash")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return counted.where(F.col("n") > limit_docs).drop("n")
 
 
-def _verdicts(measured: DataFrame, limit_docs: int, limit_share: float, min_kept: float) -> DataFrame:
-    bad = _frequent(measured, limit_docs, limit_share).select(F.col("host").alias("bad_host"), F.col("hash").alias("bad_hash"))
-    lines = measured.select("row_no", "host", F.explode("lines").alias("l"))
-    lost = lines.join(bad, F.expr("l.hash = bad_hash and host <=> bad_host")).groupBy("row_no").agg(F.sum("l.words").alias("lost"))
+def _verdicts(measured: DataFrame, limit_docs: int, min_kept: float) -> DataFrame:
+    """measured with the words that frequent lines take from a row, the hashes of these lines (or null), and the verdict."""
+    lines = measured.select("row_no", "host", "doc_id", "digest", F.explode("lines").alias("l"))
+    met = lines.join(_frequent(measured, limit_docs), F.expr("l.hash = bad_hash and host <=> bad_host")).where("not (doc_id <=> first.doc_id and digest = first.digest)")
+    lost = met.groupBy("row_no").agg(F.sum("l.words").alias("lost"), F.collect_list("l.hash").alias("gone"))
     return measured.drop("lines").join(lost, "row_no", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0))).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_frequent_words") >= min_kept * F.col("n_words")))
 
 
-def report(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
+def report(docs: DataFrame, limit_docs: int = LIMIT_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
     """One row per document: the base counts, the words in frequent lines and the verdict."""
-    return _verdicts(_measured(docs), limit_docs, limit_share, min_kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept")
+    return _verdicts(_measured(docs), limit_docs, min_kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept")
 
 
-def keep(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
-    """docs, same columns, without the rejected documents."""
-    judged = _verdicts(_measured(docs), limit_docs, limit_share, min_kept)
-    gone = judged.where("not kept").select(F.col("host").alias("gone_host"), F.lower(F.hex("digest")).alias("gone_digest")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    text, host = F.coalesce(F.col("row.text"), F.lit("")), F.col("row.source").cast("string")
-    return rows.join(gone, (F.md5(text) == F.col("gone_digest")) & host.eqNullSafe(F.col("gone_host")), "left_anti").select("row.*")
+def without_lines(text: str, gone: set[int]) -> str:
+    """text less its lines with these hashes."""
+    return "\n".join(x for x in text.split("\n") if not gone & {h for h, _ in normal_lines(x)})
 
 
-def without_frequent_lines(docs: DataFrame, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
-    """(doc_id, text): the texts without their host's frequent lines."""
-    bad = _frequent(_measured(docs), limit_docs, limit_share).select(F.col("host").alias("bad_host"), F.col("hash").alias("bad_hash"))
+def clean(docs: DataFrame, limit_docs: int = LIMIT_DOCS, min_kept: float = MIN_KEPT, reject: bool = True) -> DataFrame:
+    """docs, same columns, without the rejected documents (unless reject is false) and, in all others, without frequent lines."""
+    judged = _verdicts(_measured(docs), limit_docs, min_kept)
+    which = [F.col(c).alias(f"of_{c}") for c in ("doc_id", "host", "digest")]
+    touched = judged.where("not kept or gone is not null").groupBy(*which).agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    own = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("of_doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("of_host"))
+    met = row.join(touched, own & (F.unhex(F.md5(F.coalesce("row.text", F.lit("")))) == F.col("of_digest")), "left")
+    left = met.where(F.coalesce("kept", F.lit(True))) if reject else met
+    at = docs.columns.index("text")
 
-    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = [normal_lines(t) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted({h for h, _ in x}) for x in lines], pa.list_(pa.int64()))], ["row_no", "host", "lines"])
-
-    def rejoin(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            drop = set(gone or ())
-            texts.append(text if not drop else "\n".join(x for x in text.split("\n") if not drop & {h for h, _ in normal_lines(x)}))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_struct_array(batch.column(0))
+        texts = [t if not g else without_lines(t, set(g)) for t, g in zip(rows.column(at).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        return rows.set_column(at, rows.schema.field(at), pa.array(texts, pa.string()))
 
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("bigint"), F.col("source").cast("string").alias("host"), "text"), "quality-rows")
-    lines = map_rows(rows.select("row_no", "host", "text"), split, "row_no bigint, host string, lines array<bigint>")
-    gone = lines.select("row_no", "host", F.explode("lines").alias("hash")).join(bad, F.expr("hash = bad_hash and host <=> bad_host")).groupBy("row_no").agg(F.collect_list("hash").alias("gone"))
-    return map_rows(rows.join(gone, "row_no", "left").select("doc_id", "text", "gone"), rejoin, "doc_id bigint, text string")
+    return map_rows(left.select("row", "gone"), use, docs.schema)
 
 
 #: The same verdicts in DuckDB's SQL.
@@ -172,11 +165,10 @@ l as (select r, host, unnest(x) as line, generate_subscripts(x, 1) as i from (se
 dup as (select r, sum(n - 1)::bigint as n from (select r, count(*) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by r, line) group by r),
 nl as (select r, host, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
   trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as line from l),
-nb as (select *, coalesce(lag(line) over o, '') || chr(10) || coalesce(lead(line) over o, '') as beside from nl where line <> '' window o as (partition by r order by i)),
-once as (select r, host, line, first(beside order by i) as beside, sum(words) as words from nb group by all),
-hosts as (select host, count(*) as docs from d group by host),
-bad as (select o.host, line from once o join hosts h on o.host is not distinct from h.host group by o.host, line, docs having count(distinct beside) > {LIMIT_DOCS} and count(distinct beside) > {LIMIT_SHARE} * docs),
-lost as (select r, sum(words)::bigint as n from once o join bad b on o.host is not distinct from b.host and o.line = b.line group by r),
+once as (select r, host, line, sum(words) as words from nl where line <> '' group by all),
+held as (select o.*, doc_id, md5(text) as t from once o join d using (r)),
+bad as (select host, line, min((doc_id is null, coalesce(doc_id, 0), t)) as first from held group by host, line having count(distinct t) > {LIMIT_DOCS}),
+lost as (select r, sum(words)::bigint as n from held h join bad b on h.host is not distinct from b.host and h.line = b.line where (doc_id is null, coalesce(doc_id, 0), t) <> first group by r),
 c as (select d.r, doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(lost.n, 0)::bigint as n_frequent_words
   from d left join dup using (r) left join rep using (r) left join lost using (r))
