@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 
@@ -11,22 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markloom.session import shared_folder
+
 SUFFIXES = ["md", "markdown", "txt", "pdf"]
 MAX_BYTES = 16 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can write: spark.checkpoint.dir, else the warehouse, else (local masters) a new folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir")
-    made = tempfile.mkdtemp(prefix="markloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df as a derived table in the shared folder: later plans read it instead of deriving it again."""
     spark = df.sparkSession
