@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markloom.session import ship_package
+from markloom.session import shared_folder, ship_package
 
 #: Rows that one Arrow batch hands to a Python worker; texts are a few kB, some much longer.
 BATCH_ROWS = 256
@@ -25,28 +25,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps what a Python worker gets at once small (a batch of long texts must fit in its memory), and
-    sends this package to executors that don't have it on their path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    sends this package to executors that don't have it on their path.
+
+    Spark knows the size of a batch for a session only. It is lowered, never raised, so that no caller undoes another's
+    bound; it decides memory, not results."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     ship_package(spark)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the warehouse, else (local masters) a new one."""
-    conf = spark.sparkContext.getConf()
-    if found := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir"):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir")
-    made = tempfile.mkdtemp(prefix="markloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+def bounded(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    bounded_batches(df.sparkSession, rows)
+    return df
+
+
+#: Lists that get the folders made while they are here.
+_RECORDERS: list[list[str]] = []
+
+
+@contextmanager
+def recorded(into: list[str]) -> Iterator[None]:
+    """Meanwhile, scratch folders are noted in `into`."""
+    _RECORDERS.append(into)
+    try:
+        yield
+    finally:
+        _RECORDERS.remove(into)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch folders that nothing reads any more."""
+    while paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    release(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder below scratch_root, removed when the session's file systems close."""
-    path = f"{scratch_root(spark).rstrip('/')}/markloom/{label}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, removed when the session's file systems close."""
+    path = f"{shared_folder(spark).rstrip('/')}/markloom/{label}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    for into in _RECORDERS:
+        into.append(path)
     return path
 
 

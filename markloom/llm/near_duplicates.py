@@ -1,37 +1,44 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found exactly.
+"""Near-duplicates: what SimHash's links leave out, found exactly by the Jaccard similarity of word shingles.
 
 A text's set has the XXH64 of its shingles of `WIDTH` words (A-Z lower-cased; a shorter text is one shingle).
 Sets link at a similarity of 4/5 or more, that is at 9 common shingles or more for each 4 of both sizes
-together. Of each connected component one document stays.
+together. Candidates are pairs that the caller has (of SimHash's links) and pairs found by prefixes; each is
+verified by its whole sets.
 
-Candidates come from prefixes: with all shingles in one fixed order, two linked sets share one of their
-first n - ceil(4n/5) + 1. The order is by how often a shingle's counter (one of `COUNTERS`, by its low bits)
-is met, so that boilerplate comes last and brings together only texts that are little else. Any order is
-exact; no candidate is dropped, and each is verified by its whole sets.
+Prefixes: with all shingles in one fixed order, two linked sets share one of their first n - ceil(4n/5) + 1. The
+order is by how often a shingle's counter (one of `COUNTERS`, by its low bits) is met, so that boilerplate comes last
+and brings together only texts that are little else. Any order is exact; no candidate is dropped.
 
-Equal texts count as one. A large group doesn't become all its pairs: each set of a bucket is first compared
-with the bucket's smallest; then only pairs that these links leave in different components are. Sets that
-share mostly boilerplate and aren't similar do become pairs.
+Equal texts count as one (by XXH64; one in 2^64 pairs of unlike texts would be taken for equal). A large group
+doesn't become all its pairs: each set of a bucket is first compared with the bucket's smallest; then only pairs
+that these links leave in different components are. Sets that share mostly boilerplate and aren't similar do become
+pairs.
 
-Defined results: null, empty and blank texts are alike; other columns are handed through.
+Sets are never written for all texts: two passes count and choose prefixes, and sets are made again for the texts
+of candidate pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, map_rows
+from .common import bounded, components, cut, slices
 
-WIDTH, SEED, COUNTERS = 5, 42, 1 << 17
+WIDTH, SEED, COUNTERS, BLOCK = 5, 42, 1 << 17, 1 << 15
+#: A task remembers so many texts, to pass over copies; of more it hands copies on, which changes nothing but the time.
+SEEN = 1 << 20
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_ALIKE = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingles of a text, sorted, as signed longs."""
+def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     joined = b" ".join(words)
     starts = [0]
@@ -39,77 +46,111 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         starts.append(starts[-1] + len(w) + 1)
     tail = starts[width:] if len(words) >= width else [len(joined) + 1]
     hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, tail, strict=False)], np.uint64).view(np.int64))
-
-
-def _shingled(rows: DataFrame) -> DataFrame:
-    """rows(node, text) as (node, shingles)."""
-
-    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
-
-    return map_rows(rows, use, "node bigint, shingles array<bigint>")
+    return np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, tail, strict=False)], np.uint64)
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """sets(node, shingles) as (node, n, s), a row for each shingle of a set's prefix."""
-    met = np.zeros(COUNTERS, np.int64)
-    for r in sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(COUNTERS - 1).alias("c")).agg(F.count("*").alias("n")).collect():
-        met[r.c] = r.n
-
-    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, prefix = [], [], []
-        lists = batch.column(1)
-        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for node, start, end in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
-            found = values[start:end]
-            first = found[np.lexsort((found, met[found & (COUNTERS - 1)]))[: len(found) - -(-4 * len(found) // 5) + 1]]
-            nodes.append(np.full(len(first), node, np.int64))
-            sizes.append(np.full(len(first), len(found), np.int32))
-            prefix.append(first)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, sizes, prefix)], ["node", "n", "s"])
-
-    return map_rows(sets, use, "node bigint, n int, s bigint")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of a text, sorted, as signed longs."""
+    return np.unique(hashes(text, width).view(np.int64))
+
+
+def majority(found: np.ndarray) -> int:
+    """The SimHash fingerprint of shingle hashes, as a signed long: bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), BLOCK):
+        ones += np.unpackbits(found[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
+
+
+def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str | None]]]:
+    """The (node, text) of a task by slices, each node once as long as there is room to remember them."""
+    seen: set[int] = set()
+    for batch in batches:
+        for piece in slices(batch):
+            rows = []
+            for node, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                if node not in seen:
+                    rows.append((node, text))
+                    if len(seen) < SEEN:
+                        seen.add(node)
+            if rows:
+                yield rows
+
+
+def _survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(node, fp, n) of texts(node, text), with SimHash fingerprints and set sizes; and how often each counter is met."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(COUNTERS, np.int64)
+        for rows in _each_once(batches):
+            every = [hashes(t) for _, t in rows]
+            sets = [np.unique(h) for h in every]
+            met += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            k = len(rows)
+            columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([majority(h) for h in every], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "n", "c", "m"])
+        where = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([where.astype(np.int32)], pa.list_(pa.int32())), pa.array([met[where]], pa.list_(pa.int64()))], ["node", "fp", "n", "c", "m"])
+
+    both = cut(bounded(texts).mapInArrow(over, "node bigint, fp bigint, n int, c array<int>, m array<bigint>"), "near-survey")
+    met = np.zeros(COUNTERS, np.int64)  # a fixed number of sums
+    sums = both.where("c is not null").select(F.explode(F.arrays_zip("c", "m")).alias("x")).groupBy(F.col("x.c").alias("c")).agg(F.sum("x.m").alias("m")).toArrow()
+    met[sums.column("c").to_numpy()] = sums.column("m").to_numpy()
+    return both.where("c is null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), met
+
+
+def _prefixes(texts: DataFrame, met: np.ndarray) -> DataFrame:
+    """texts(node, text) as (node, s), a row for each shingle of a set's prefix."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_once(batches):
+            nodes, prefix = [], []
+            for node, text in rows:
+                found = shingles(text)
+                first = found[np.lexsort((found, met[found & (COUNTERS - 1)]))[: len(found) - -(-4 * len(found) // 5) + 1]]
+                nodes.append(np.full(len(first), node, np.int64))
+                prefix.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, prefix)], ["node", "s"])
+
+    return bounded(texts).mapInArrow(over, "node bigint, s bigint")
+
+
+def small(df: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """df(fixed-size columns), to be broadcast if it has so few rows; counted first."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Those of pairs(a, b) that are similar enough."""
-    pairs = cut(pairs, "near-pairs")
-    some = cut(sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi"), "near-some")
-    left = some.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = some.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    size = lambda k: sizes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"))
+    pairs = cut(pairs.distinct().join(size("a"), "a").join(size("b"), "b").where(_ALIKE.format("n_a", "n_b")).select("a", "b"), "near-pairs")
+    asked = cut(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "near-asked")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_once(batches):
+            sets = [shingles(t) for _, t in rows]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), lists], ["node", "shingles"])
+
+    wanted = texts.join(small(asked), F.col("node") == F.col("asked"), "left_semi")
+    sets = cut(bounded(wanted).mapInArrow(over, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "near-sets")
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return cut(pairs.join(left, "a").join(right, "b").where("9L * size(array_intersect(x, y)) >= 4L * (size(x) + size(y))").select("a", "b"), "near-links")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join sets(node, shingles) as all similar pairs would."""
-    prefixes = cut(_prefixes(sets), "near-prefixes")
-    shared = prefixes.groupBy("s").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("held")).where("held > 1").select(F.col("s").alias("s0"), F.col("first.node").alias("a"), F.col("first.n").alias("m"))
-    members = cut(prefixes.join(shared, F.col("s") == F.col("s0")).select("s", "node", "n", "a", "m"), "near-members")
-    alike = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
-    stars = members.where("node <> a").where(alike.format("n", "m")).select("a", F.col("node").alias("b")).distinct()
-    found = _verified(stars, sets)
+def similar(texts: DataFrame, hinted) -> DataFrame:
+    """Links (a, b) that join texts(node, text) as all similar pairs would; hinted(nodes with fingerprints) gives further candidates."""
+    nodes, met = _survey(texts)
+    nodes = cut(nodes, "near-nodes")
+    prefixes = cut(_prefixes(texts, met), "near-prefixes")
+    shared = prefixes.groupBy(F.col("s").alias("s0")).agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("s0", "a")
+    members = cut(prefixes.join(shared, F.col("s") == F.col("s0")).select("s", "node", "a"), "near-members")
+    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found = _verified(stars.union(hinted(nodes)), texts, nodes)
     roots = components(found, "near-star-cc")
-    rooted = members.select("s", "node", "n").join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    left = cut(rooted.join(mixed, "s", "left_semi"), "near-left")
+    rooted = members.select("s", "node").distinct().join(roots, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy(F.col("s").alias("s1")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s1")
+    left = cut(rooted.join(mixed, F.col("s") == F.col("s1"), "left_semi").join(nodes.select("node", "n"), "node"), "near-mixed")
     other = left.select(F.col("s").alias("s1"), F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("root_b"))
-    across = left.join(other, (F.col("s") == F.col("s1")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b"))).where(alike.format("n", "k"))
-    return found.union(_verified(across.select(F.col("node").alias("a"), "b").distinct(), sets))
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs, same columns, with one document of each component: that of the smallest doc_id (nulls last)."""
-    bounded_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row_no"), F.xxhash64(text).alias("node"), F.struct(*docs.columns).alias("row")), "near-docs")
-    rows = numbered.select("row_no", "node", F.col("row.doc_id").cast("bigint").alias("doc_id"))
-    one = cut(rows.groupBy("node").agg(F.min("row_no").alias("row_no")), "near-one")
-    sets = cut(_shingled(numbered.join(one.select("row_no"), "row_no", "left_semi").select("node", F.col("row.text").alias("text"))), "near-sets")
-    roots = components(links(sets), "near-cc")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
-    stay = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("o")).select(F.col("o.row_no").alias("stay_no"))
-    return numbered.join(stay, F.col("row_no") == F.col("stay_no"), "left_semi").select("row.*")
+    across = left.join(other, (F.col("s") == F.col("s1")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b"))).where(_ALIKE.format("n", "k"))
+    return found.union(_verified(across.select(F.col("node").alias("a"), "b"), texts, nodes))

@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from markloom.llm import near_duplicates as N
+from markloom.llm import simhash
 
 
 def slow_set(text):
@@ -56,9 +56,17 @@ def test_deduplicate_like_all_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want, groups = slow_stay(rows)
     assert len(want) < len(rows) and max(map(len, groups.values())) > 5
-    out = N.deduplicate(df)
+    out = simhash.deduplicate(df)
     assert out.columns == df.columns and sorted((r.doc_id for r in out.collect()), key=last) == want
-    assert N.deduplicate(df.limit(0)).count() == 0
+    assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_other_columns(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (None, "other", "z"), (None, "other", "z"), (2, "A b c d e f g", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies string")
+    out = simhash.deduplicate(df)
+    assert out.columns == df.columns and sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 1), (True, None)]
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in simhash.deduplicate(df.repartition(3)).collect()}
 
 
 def test_pipeline_stage_finds_pairs_at_four_fifths(spark, tmp_path):
