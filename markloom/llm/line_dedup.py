@@ -1,14 +1,17 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line's normal form is its words with A-Z lower-cased. Lines of fewer than `MIN_WORDS` words are left
-alone. Of the others a line goes if an earlier line of the corpus has the same normal form, or, for lines of
-`NEAR_WORDS` words or more, differs from it by one word inserted, deleted or replaced. Earlier means a
-smaller doc_id (nulls last), then the text's hash, then the line's number; lines are judged on the input.
-
-Two lines at one edit at most have an equal deletion variant: the same word position left out of both
-(replaced), or one line whole and the other with a word left out. Variants are hashed and joined; of each
+A line's normal form is its words with A-Z lower-cased, joined by single spaces. A line with a word goes if an
+earlier line of the corpus has the same normal form, or differs from it by one unit inserted, deleted or replaced:
+a word in lines of `NEAR_WORDS` words or more; in others, as in scripts without spaces, a code point if there are
+`NEAR_CHARS` of them or more (lines of the two sorts aren't compared with each other; shorter ones only go as
+equals). Earlier means a smaller doc_id (nulls last), then the text's hash, then the line's number; lines are judged
+on the input.
+
+Two lines at one edit at most have an equal deletion variant: the same position left out of both
+(replaced), or one line whole and the other with a unit left out. Variants are hashed (from
+hashes of what stands before and after the gap, in constant time each) and joined; of each
 group of equal variants only its earliest line matters, so a group gives a row for each member and no
-pairs. What the join finds is verified word by word.
+pairs. What the join finds is verified unit by unit.
 
 Only lines that can have a partner emit variants: with one edit either the first half of the shorter
 line or its second half is shared by both, so lines whose half keys (three as a rule) no other line has
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, map_rows
 
-MIN_WORDS, NEAR_WORDS = 5, 8
+NEAR_WORDS, NEAR_CHARS = 8, 16
+#: The modulus and the base of the variants' hashes.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+_POWERS = [1]
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _LAST = (1 << 63) - 1
 _LINES = "d bigint, t bigint, line int, h binary, id bigint, keys array<bigint>"
@@ -45,29 +51,42 @@ def _long(data: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
 
 
-def half_keys(words: list[bytes]) -> list[int]:
+def units(words: list[bytes]) -> list[bytes] | str | None:
+    """What a line is compared by: its words, or its code points; None if only its equals count."""
+    if len(words) >= NEAR_WORDS:
+        return words
+    joined = b" ".join(words).decode("utf-8", "surrogatepass")
+    return joined if len(joined) >= NEAR_CHARS else None
+
+
+def half_keys(line: list[bytes] | str) -> list[int]:
     """One of these is shared by any two lines within one edit: halves of the line as the longer and the shorter one."""
-    n, out = len(words), set()
+    n, out = len(line), set()
+    data = (lambda x: x.encode("utf-8", "surrogatepass")) if isinstance(line, str) else b" ".join
+    kind = 1 << 40 if isinstance(line, str) else 0
     for m in (n, n - 1):
         left, right = m // 2, m - m // 2
-        out.add(_long(b" ".join(words[:left]), 2 * left))
-        out.add(_long(b" ".join(words[n - right :]), 2 * right + 1))
+        out.add(_long(data(line[:left]), kind + 2 * left))
+        out.add(_long(data(line[n - right :]), kind + 2 * right + 1))
     return sorted(out)
 
 
-def variants(words: list[bytes]) -> list[tuple[int, int]]:
+def variants(line: list[bytes] | str) -> list[tuple[int, int]]:
     """(hash, position left out; -1: none) of a line's deletion variants."""
-    joined = b" ".join(words)
-    out, at = [(_long(joined, 0), -1)], 0
-    for p, w in enumerate(words):
-        rest = joined[: at - 1] + joined[at + len(w) :] if p else joined[len(w) + 1 :]
-        out.append((_long(rest, 0), p))
-        at += len(w) + 1
-    return out
-
-
-def within_one(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether one word inserted, deleted or replaced at most makes b of a."""
+    chars = isinstance(line, str)
+    values = [ord(c) + 1 for c in line] if chars else [xxhash.xxh64_intdigest(w) % _PRIME for w in line]
+    n, before = len(values), [0]
+    for v in values:
+        before.append((before[-1] * _BASE + v) % _PRIME)
+    while len(_POWERS) <= n:
+        _POWERS.append(_POWERS[-1] * _BASE % _PRIME)
+    whole = before[n]
+    out = [(2 * whole + chars, -1)]
+    return out + [(2 * (((before[p] - before[p + 1]) * _POWERS[n - p - 1] + whole) % _PRIME) + chars, p) for p in range(n)]
+
+
+def within_one(a: list[bytes] | str, b: list[bytes] | str) -> bool:
+    """Whether one unit inserted, deleted or replaced at most makes b of a."""
     if len(a) > len(b):
         a, b = b, a
     same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
@@ -85,9 +104,9 @@ def _lines(docs: DataFrame) -> DataFrame:
         for d, t, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                 words = normal(line)
-                if len(words) >= MIN_WORDS:
+                if words:
                     h = xxhash.xxh3_128_digest(b" ".join(words))
-                    rows.append((d, t, i, h, int.from_bytes(h[:8], "big", signed=True), half_keys(words) if len(words) >= NEAR_WORDS else None))
+                    rows.append((d, t, i, h, int.from_bytes(h[:8], "big", signed=True), half_keys(u) if (u := units(words)) else None))
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["d", "t", "line", "h", "id", "keys"])
@@ -104,7 +123,7 @@ def _variants(docs: DataFrame) -> DataFrame:
             lines = text.encode("utf-8", "surrogatepass").split(b"\n")
             for w in wanted:
                 words = normal(lines[w["line"]])
-                rows += [(w["id"], v, p, b" ".join(words) if p < 0 else None) for v, p in variants(words)]
+                rows += [(w["id"], v, p, b" ".join(words) if p < 0 else None) for v, p in variants(units(words))]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["id", "v", "p", "words"])
@@ -145,7 +164,8 @@ def _near(lines: DataFrame, first: DataFrame, keyed: DataFrame) -> DataFrame:
     sides = pairs.join(words.withColumnRenamed("words", "a"), F.col("id") == F.col("of")).drop("of").join(words.withColumnRenamed("words", "b"), F.col("partner") == F.col("of")).select("id", "a", "b")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        sides = [[units(x.split(b" ")) for x in batch.column(k).to_pylist()] for k in (1, 2)]
+        good = [type(a) is type(b) and within_one(a, b) for a, b in zip(*sides, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["id"])
 
     return map_rows(sides, verify, "id bigint").distinct()
