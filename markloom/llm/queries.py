@@ -53,4 +53,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_quality_classifier, op9_pii, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL, "op10_decontaminate": decontaminate.SQL}
