@@ -56,7 +56,7 @@ NAME_PARTS = {
     "cyrillic": {"start": "Ал Бор Вел Гор Дар Евг Зор Кир Лад Мир Ник Ол Рад Свят Тих Яр", "middle": "а е и о у ан ен ин ов ар", "m": "слав мир дан бор", "f": "слава мира дана лина", "n": "ай ень"},
     "greek": {"start": "Αλ Βασ Γερ Δαμ Ελ Ζην Θεο Ιασ Καλ Λεων Μαρ Νικ Ορ Παν", "middle": "α ε ι ο αν εν ιν αρ", "m": "ιος ων ας ης", "f": "ια ινη α ω", "n": "ι ω"},
 }
-_TOKEN = r"\p{Lu}[\p{L}\p{M}]{0,40}+(?:['’]\p{Lu}[\p{L}\p{M}]{1,40}+|-\p{L}[\p{L}\p{M}]{0,40}+){0,3}"
+_TOKEN = r"\p{Lu}[\p{L}\p{M}]{0,40}+(?:['’]\p{Lu}[\p{L}\p{M}]{1,40}+|-\p{L}[\p{L}\p{M}]{0,40}+){0,3}(?![\p{L}\p{M}\p{Nd}])"
 _FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_TOKEN}"
 _TITLES = rf"(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)})\.? ){{1,3}}"
 _NO_LETTER, _END = r"(?<![\p{L}\p{M}\p{Nd}])", r"(?![\p{L}\p{M}\p{Nd}])"
@@ -134,11 +134,11 @@ def _syllable(script: str, which: str, at: str) -> str:
 
 
 def _made_name(script: str) -> str:
-    """A given name by gender; a family name for each part of a hyphenated one, after a kept O' or the like. Later attempts add syllables."""
+    """A given name, by gender, or a family name, for each part of a hyphenated one, after a kept O' or the like. Later attempts add syllables."""
     middles = lambda n, at: f"array_join(transform(sequence(1, {n}), j -> {_syllable(script, 'middle', f'{at} + 2 * j')}), '')"
     last = lambda at: f"case gender when 'm' then {_syllable(script, 'm', at)} when 'f' then {_syllable(script, 'f', at)} else {_syllable(script, 'n', at)} end"
-    given = f"concat({_syllable(script, 'start', '0')}, {middles('1 + n div 2', '4')}, {last('2')})"
-    family = f"array_join(transform(split(canonical, '-'), (w, p) -> concat(upper(regexp_extract(w, '^[^\\'’]+[\\'’]', 0)), {_syllable(script, 'start', '64 * p')}, {middles('2 + n div 2', '64 * p + 4')}, {_syllable(script, 'm', '64 * p + 2')})), '-')"
+    parts = lambda middle, end: f"array_join(transform(split(canonical, '-'), (w, p) -> concat(upper(regexp_extract(w, '^[^\\'’]+[\\'’]', 0)), {_syllable(script, 'start', '64 * p')}, {middles(middle, '64 * p + 4')}, {end})), '-')"
+    given, family = parts("1 + n div 2", last("64 * p + 2")), parts("2 + n div 2", _syllable(script, "m", "64 * p + 2"))
     return _let("s", _stream(_SEED, "320"), f"if(kind = 'given', {given}, {family})")
 
 
@@ -256,11 +256,12 @@ def _parsed(texts: DataFrame) -> DataFrame:
     spoken = spoken.withColumn("given", of_name(F.rtrim(F.expr("substring(raw, 1 + length(title), length(raw) - length(title) - length(whole))")))).withColumn("family", of_name(F.regexp_extract("whole", f"{_TOKEN}$", 0)))
     spoken = spoken.withColumn("particles", F.expr("substring(whole, 1, length(whole) - length(family))")).drop("whole")
     spoken = cut(spoken.withColumn("told", F.when(own(MALE_TITLES), "m").when(own(FEMALE_TITLES), "f")), "pii-spoken")
-    same = W.partitionBy("digest", "given")
+    first = F.element_at(F.split("given", " "), 1)
+    same = W.partitionBy("digest", first)
     of_text = F.when(F.min("told").over(same) == F.max("told").over(same), F.min("told").over(same))
     named = spoken.where("given <> ''").withColumn("of_text", of_text)
-    single = spoken.where("given <> '' and told is not null").groupBy(F.col("given").alias("known_given")).agg(F.min("told").alias("lo"), F.max("told").alias("hi")).where("lo = hi").select("known_given", F.col("lo").alias("of_corpus"))
-    named = named.join(single, F.col("given") == F.col("known_given"), "left").withColumn("gender", F.coalesce("told", "of_text", "of_corpus", F.lit("n")))
+    single = spoken.where("given <> '' and told is not null").groupBy(first.alias("known_given")).agg(F.min("told").alias("lo"), F.max("told").alias("hi")).where("lo = hi").select("known_given", F.col("lo").alias("of_corpus"))
+    named = named.join(single, first == F.col("known_given"), "left").withColumn("gender", F.coalesce("told", "of_text", "of_corpus", F.lit("n")))
     others = spoken.where("given = ''").withColumn("gender", F.lit(""))
     columns = [c.split()[0] for c in _PARSED.split(", ")]
     return cut(named.select(columns).unionByName(others.select(columns)), "pii-parsed")

@@ -151,21 +151,20 @@ def test_whole_table_against_plain_twin(spark):
     got = {x.doc_id: x for x in pii.report(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA), "k").collect()}
     known: dict = {}
     for i, text in enumerate(texts):
-        found, new, at, end = spans(text), got[i].text, 0, 0
-        assert got[i].n_entities == len(found) and got[i].kinds == ",".join(sorted({k for *_, k in found})), text
-        for a, b, k in [*found, (len(text), len(text), "")]:
-            gap = text[end:a]
-            stop = new.index(gap, at) if gap else at if not found or not end else None
-            assert stop is not None, (text, new)
-            if end:
-                known.setdefault((before[0], before[1]), set()).add(new[at:stop])
-            at, end, before = stop + len(gap), b, (k, text[a:b])
-        assert at == len(new) or not found
+        found, new, end, pattern = spans(text), got[i].text, 0, ""
+        assert got[i].n_entities == len(found) and got[i].kinds == ",".join(sorted({k for *_, k in found})), (text, found, new)
+        for a, b, _ in found:
+            pattern += re.escape(text[end:a]) + "(" + " ".join([r"\S+"] * (1 + text[a:b].count(" "))) + ")"
+            end = b
+        m = re.fullmatch(pattern + re.escape(text[end:]), new)
+        assert m, (text, new)
+        for (a, b, k), x in zip(found, m.groups(), strict=True):
+            known.setdefault((k, text[a:b]), set()).add(x)
     assert len(known) > 200 and all(len(v) == 1 for v in known.values()), [x for x in known.items() if len(x[1]) > 1][:3]
     plain = {}
     for (k, raw), (new,) in known.items():
         assert shape(k, new) == shape(k, raw), (k, raw, new)
-        if k != "name":
+        if k not in ("name", "secret"):
             plain.setdefault(k, {}).setdefault(re.sub(r"\D", "", raw) if k in ("phone", "card", "ssn") else raw.lower(), set()).add(re.sub(r"\D", "", new) if k in ("phone", "card", "ssn") else new)
     for k, table in plain.items():
         back = [x for v in table.values() for x in v]
