@@ -14,8 +14,9 @@ doesn't become all its pairs: each set of a bucket is first compared with the bu
 that these links leave in different components are. Sets that share mostly boilerplate and aren't similar do become
 pairs.
 
-Sets are never written for all texts: two passes count and choose prefixes, and sets are made again for the texts
-of candidate pairs.
+Sets are never written for all texts. A text keeps a bit map of four to eight bits for each shingle, in which every
+shingle turns over one bit: two maps differ in no more bits than their sets in shingles, so a pair whose maps differ
+in over (n + m) / 9 bits isn't similar. Sets are made again only for the pairs that this leaves.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, slices
+from .common import bounded, components, cut, discard, map_rows, recorded, slices
 
 WIDTH, SEED, COUNTERS, BLOCK = 5, 42, 1 << 17, 1 << 15
 #: A task remembers so many texts, to pass over copies; of more it hands copies on, which changes nothing but the time.
@@ -62,6 +63,18 @@ def majority(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
 
 
+def bit_map(found: np.ndarray) -> bytes:
+    """A set's bit map: the parity of how many shingles fall on each bit; as many bits as a power of two."""
+    size = max(64, 1 << (4 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found.view(np.uint64) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two maps differ, the larger folded to the size of the smaller."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str | None]]]:
     """The (node, text) of a task by slices, each node once as long as there is room to remember them."""
     seen: set[int] = set()
@@ -78,7 +91,7 @@ def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, st
 
 
 def _survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(node, fp, n) of texts(node, text), with SimHash fingerprints and set sizes; and how often each counter is met."""
+    """(node, fp, n, bits) of texts(node, text), with SimHash fingerprints, set sizes and bit maps; and how often each counter is met."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(COUNTERS, np.int64)
@@ -87,16 +100,16 @@ def _survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
             sets = [np.unique(h) for h in every]
             met += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             k = len(rows)
-            columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([majority(h) for h in every], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "n", "c", "m"])
+            columns = [pa.array([n for n, _ in rows], pa.int64()), pa.array([majority(h) for h in every], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bit_map(s) for s in sets], pa.binary()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "n", "bits", "c", "m"])
         where = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([where.astype(np.int32)], pa.list_(pa.int32())), pa.array([met[where]], pa.list_(pa.int64()))], ["node", "fp", "n", "c", "m"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([where.astype(np.int32)], pa.list_(pa.int32())), pa.array([met[where]], pa.list_(pa.int64()))], ["node", "fp", "n", "bits", "c", "m"])
 
-    both = cut(bounded(texts).mapInArrow(over, "node bigint, fp bigint, n int, c array<int>, m array<bigint>"), "near-survey")
+    both = cut(bounded(texts).mapInArrow(over, "node bigint, fp bigint, n int, bits binary, c array<int>, m array<bigint>"), "near-survey")
     met = np.zeros(COUNTERS, np.int64)  # a fixed number of sums
     sums = both.where("c is not null").select(F.explode(F.arrays_zip("c", "m")).alias("x")).groupBy(F.col("x.c").alias("c")).agg(F.sum("x.m").alias("m")).toArrow()
     met[sums.column("c").to_numpy()] = sums.column("m").to_numpy()
-    return both.where("c is null").groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), met
+    return both.where("c is null").drop("c", "m").dropDuplicates(["node"]), met
 
 
 def _prefixes(texts: DataFrame, met: np.ndarray) -> DataFrame:
@@ -120,10 +133,19 @@ def small(df: DataFrame, limit: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that are similar enough."""
-    size = lambda k: sizes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"))
-    pairs = cut(pairs.distinct().join(size("a"), "a").join(size("b"), "b").where(_ALIKE.format("n_a", "n_b")).select("a", "b"), "near-pairs")
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that are similar enough: judged by sizes, then by bit maps, then by the sets."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    size = lambda k: side(k).drop(f"bits_{k}")
+    alike = cut(pairs.distinct().join(size("a"), "a").join(size("b"), "b").where(_ALIKE.format("n_a", "n_b")).select("a", "b"), "near-alike")
+
+    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_a, bits_a, n_b, bits_b = (batch.column(k).to_pylist() for k in range(2, 6))
+        good = [9 * apart(x, y) <= n + m for n, x, m, y in zip(n_a, bits_a, n_b, bits_b, strict=True)]
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    both = alike.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = cut(map_rows(bounded(both), close, "a bigint, b bigint"), "near-pairs")
     asked = cut(pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct(), "near-asked")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +164,12 @@ def similar(texts: DataFrame, hinted) -> DataFrame:
     """Links (a, b) that join texts(node, text) as all similar pairs would; hinted(nodes with fingerprints) gives further candidates."""
     nodes, met = _survey(texts)
     nodes = cut(nodes, "near-nodes")
-    prefixes = cut(_prefixes(texts, met), "near-prefixes")
+    passing: list[str] = []
+    with recorded(passing):
+        prefixes = cut(_prefixes(texts, met), "near-prefixes")
     shared = prefixes.groupBy(F.col("s").alias("s0")).agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("s0", "a")
     members = cut(prefixes.join(shared, F.col("s") == F.col("s0")).select("s", "node", "a"), "near-members")
+    discard(texts.sparkSession, passing)
     stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     found = _verified(stars.union(hinted(nodes)), texts, nodes)
     roots = components(found, "near-star-cc")

@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+from markloom.llm import near_duplicates as N
 from markloom.llm import simhash
 
 
@@ -81,3 +82,13 @@ def test_pipeline_stage_finds_pairs_at_four_fifths(spark, tmp_path):
     stage = corpus_pipeline.STAGES[2][1]
     assert sorted(x.doc_id for x in stage(spark, df, str(tmp_path)).collect()) == [0, 3]
     assert sorted(x.doc_id for x in stage(spark, df.where("doc_id <> 1"), str(tmp_path)).collect()) == [0, 2, 3]
+
+
+def test_bit_maps_bound_the_difference():
+    r = random.Random(3)
+    for _ in range(300):
+        x = [f"w{r.randrange(400)}" for _ in range(r.choice([1, 5, 7, 60, 300]))]
+        y = [w for w in x if r.random() > 0.1] + [f"v{k}" for k in range(r.randrange(30))]
+        a, b = N.shingles(" ".join(x)), N.shingles(" ".join(y))
+        apart = N.apart(N.bit_map(a), N.bit_map(b))
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and N.apart(N.bit_map(a), N.bit_map(a)) == 0
