@@ -638,3 +638,6 @@ def hash_chain(spark, d):
 def chain_violations(spark, d):
     rows = hash_chain(spark, d)
     return eventlog.chain_violations(rows.withColumn("event", F.when((F.col("sequence") == 3) & (F.col("log_id").cast("int") % 10 == 0), "forged").otherwise(F.col("event"))))
+
+
+from markloom import catalog_audit  # noqa: E402, F401  registers its queries here
