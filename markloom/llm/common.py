@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,7 @@ def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None]
     """df.mapInArrow for a function of one batch; long batches come in slices of about `size` bytes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for piece in slices(batch, size):
                 if (out := f(piece)) is not None and out.num_rows:
@@ -102,6 +104,14 @@ def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None]
     return df.mapInArrow(over, schema)
 
 
+def give_back() -> None:
+    """Returns to the system what earlier tasks of this Python worker have freed; workers are reused, and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every system's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
