@@ -135,10 +135,9 @@ def prefix_trie(spark, d):
     return graph.prefix_trie(A.active_marks(spark, d))
 
 
-@query(f"{_TEXT} select label, count(*) over () as labels from (select distinct mark as label from am)")
+@query(f"{_TEXT} select label, row_number() over (order by label) as id from (select distinct mark as label from am)")
 def mark_dictionary(spark, d):
-    ids = graph.mark_dictionary(A.active_marks(spark, d))
-    return ids.join(F.broadcast(ids.agg(F.max("id").alias("labels"))), F.col("id") <= F.col("labels")).select("label", "labels")
+    return graph.mark_dictionary(A.active_marks(spark, d))
 
 
 _CONCEPTS = f"""with {A.BASKETS.replace("am as", "am0 as")},
@@ -160,72 +159,64 @@ def concept_edges(spark, d):
 
 @query(f"{_TEXT}, {_MATCHES} select * from matches")
 def literal_match(spark, d):
-    return TextGraph(spark, d).matches
+    return TextGraph.opened(spark, d).matches
 
 
 @query(f"{_TEXT}, {_MATCHES}, {_HITS} select * from hits")
 def direct_hits(spark, d):
-    return TextGraph(spark, d).hits
+    return TextGraph.opened(spark, d).hits
 
 
 @query(f"{_RETRIEVE} select query_id, scope, from_mark, mark, weight, neighbor_rank, context_passed from cand")
 def expansion_candidates(spark, d):
-    return TextGraph(spark, d).candidates.select("query_id", "scope", "from_mark", "mark", "weight", "neighbor_rank", "context_passed")
+    return TextGraph.opened(spark, d).candidates.select("query_id", "scope", "from_mark", "mark", "weight", "neighbor_rank", "context_passed")
 
 
 @query(f"{_RETRIEVE} select * from expanded")
 def expanded_marks(spark, d):
-    return TextGraph(spark, d).expanded
+    return TextGraph.opened(spark, d).expanded
 
 
 @query(f"{_RETRIEVE} select * from ranked")
 def ranked_candidates(spark, d):
-    return TextGraph(spark, d).ranked
+    return TextGraph.opened(spark, d).ranked
 
 
 @query(f"""{_RETRIEVE}, top as (select *, row_number() over (partition by query_id order by direct desc, score desc, record_id desc) as rank from ranked qualify rank <= 3)
 select t.query_id, t.scope, t.record_id, direct, extra, score, rank, source_id, case when length(text) <= 110 then text else substring(text, 1, 109) || '…' end as text, length(text) > 110 as truncated from top t join records r on r.scope = t.scope and r.record_id = t.record_id""")
 def retrieve(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     return R.references(g.ranked, g.records)
 
 
 @query()
 def retrieve_concept(spark, d):
-    g = TextGraph(spark, d)
-    return R.retrieve_concept(g.queries, g.records, g.marks, g.directed, g.context, g.counts)
+    g = TextGraph.opened(spark, d)
+    return R.retrieve_concept(g.queries, g.record_texts, g.marks, g.directed, g.context, g.counts)
 
 
-_TERMS = f"""words0 as (select query_id, scope, list_filter(regexp_extract_all(trim(regexp_replace(regexp_replace(lower(text), '-+', ' ', 'g'), '\\s+', ' ', 'g')), '[a-z][a-z0-9_]*'), lambda w: length(w) > 1 and w not in ({", ".join(f"'{w}'" for w in T.STOP)})) as ws from
-  (select query_id, scope, text from queries where regexp_matches(text, '^[\\x00-\\x7F]*$') and not regexp_matches(text, '(?i)\\b(what|how|where|which)\\b|please\\s'))),
+_NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '([a-zA-Z])[-‐]\s*\n\s*([a-z])', '\1\2', 'g'), '[-‐‑‒–—]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_TERMS = f"""heads as (select query_id, scope, regexp_split_to_array(regexp_replace(text, '(?i)[“"].*?[”"]\\s*\\([^)]*(?:\\b\\d{{4}}\\b|doi)[^)]*\\)', ' ', 'g'), '(?i)(?:Please\\s|Use this round|Base the answer|No ingest|Do not ingest)')[1] as head from queries),
+focus as (select query_id, scope, case when regexp_extract(head, '(?is)\\b(?:what|how|where|which)\\b.*', 0) <> '' then regexp_extract(head, '(?is)\\b(?:what|how|where|which)\\b.*', 0) else head end as text from heads),
+words0 as (select query_id, scope, list_filter(regexp_extract_all({_NORMAL.format('text')}, '[a-z][a-z0-9_]*'), lambda w: length(w) > 1 and w not in ({", ".join(f"'{w}'" for w in T.STOP)})) as ws from focus),
 terms0 as (select query_id, scope, list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:{T.MAX_TERMS}] as t from words0),
 terms as (select query_id, scope, unnest(t) as term from terms0),
-idx as (select distinct scope, record_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from records where active and regexp_matches(text, '^[\\x00-\\x7F]*$')),
+idx as (select distinct scope, record_id, unnest(regexp_extract_all({_NORMAL.format('text')}, '[A-Za-z0-9_]+')) as term from records where active),
 tdf as (select i.scope, i.term, count(*) as df from idx i semi join terms t on t.scope = i.scope and t.term = i.term group by all),
 tw as (select query_id, t.scope, t.term, round(1 + ln((n + 1) / (df + 1)), 6) as weight from terms t join tdf on tdf.scope = t.scope and tdf.term = t.term join n on n.scope = t.scope)"""
 
 
-def _ascii_index(g: TextGraph):
-    """What the SQL twin covers: ASCII texts, and questions without question words."""
-    plain = r"^[\x00-\x7F]*$"
-    records = g.records.where(F.col("text").rlike(plain))
-    queries = g.queries.where(F.col("text").rlike(plain) & ~F.col("text").rlike(r"(?i)\b(?:what|how|where|which)\b|please\s"))
-    index = R.record_terms(records.withColumn("text", F.regexp_replace("text", "-", " ")))
-    return queries, index
-
-
 @query(f"{_TEXT}, {A.QUERIES}, {_TERMS} select query_id, scope, term, weight from tw")
 def idf_weights(spark, d):
-    g = TextGraph(spark, d)
-    queries, index = _ascii_index(g)
-    return R.term_weights(queries, index, g.counts)
+    g = TextGraph.opened(spark, d)
+    return R.term_weights(g.queries, R.record_terms(g.record_texts), g.counts)
 
 
 @query(f"{_TEXT}, {A.QUERIES}, {_TERMS}, lex as (select query_id, i.scope, record_id, round(sum(weight), 6) as lexical from idx i join tw on tw.scope = i.scope and tw.term = i.term group by all) select *, row_number() over (partition by query_id order by lexical desc, record_id desc) as lexical_rank from lex qualify lexical_rank <= 128")
 def lexical_pool(spark, d):
-    g = TextGraph(spark, d)
-    queries, index = _ascii_index(g)
-    return R.lexical_pool(R.term_weights(queries, index, g.counts), index)
+    g = TextGraph.opened(spark, d)
+    index = R.record_terms(g.record_texts)
+    return R.lexical_pool(R.term_weights(g.queries, index, g.counts), index)
 
 
 @query(r"""select kind, count(*) as documents from (select case
@@ -246,14 +237,14 @@ select *, row_number() over (partition by query_id order by direct_marks desc, a
 def graph_rerank(spark, d):
     from pyspark.sql import Window as W
 
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     ranked = g.ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("direct").desc(), F.col("score").desc(), F.col("record_id").desc())))
     return R.graph_rerank(ranked, g.hits, g.marks, g.directed)
 
 
 @query()
 def retrieve_dynamic(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     events = g.queries.select("scope", F.col("query_id").alias("event_id"), F.col("query_id").alias("observed_at"))
     dynamic = dynamics.dynamic_weights(g.edges, events, g.hits.select("scope", F.col("query_id").alias("event_id"), "mark"))
     edges = graph.directed_edges(R.effective_edges(g.edges, dynamic, graph.pair_support(g.marks)))
@@ -263,22 +254,25 @@ def retrieve_dynamic(spark, d):
 
 @query()
 def dynamic_fold(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     events = g.queries.select("scope", F.col("query_id").alias("event_id"), F.col("query_id").alias("observed_at"))
     return dynamics.dynamic_weights(g.edges, events, g.hits.select("scope", F.col("query_id").alias("event_id"), "mark"))
 
 
 @query(f"{_BASKET} select e.scope, e.a, e.b, e.weight from edges e where not exists (select 1 from (select distinct lower(p_brand) as m from part where p_size > 25) x where x.m = e.a)")
 def unseeded_edges(spark, d):
-    g = BasketGraph(spark, d)
+    g = BasketGraph.opened(spark, d)
     big = A.read(spark, d, "part").where("p_size > 25").select(F.lower("p_brand").alias("a")).distinct()
     return dynamics.unseeded(g.edges, g.edges.join(big, "a", "left_semi")).select("scope", "a", "b", "weight")
 
 
-@query(f"{_BASKET} select s.scope, s.a, s.b, s.co_count, e.weight as static_score, e.weight * 2 as dynamic_score, e.weight * 2 as weight from sup s join edges e on e.scope = s.scope and e.a = s.a and e.b = s.b where e.weight > 0")
+@query(f"{_BASKET} select s.scope, s.a, s.b, s.co_count, e.weight as static_score, d.weight as dynamic_score, coalesce(d.weight, e.weight) as weight from sup s left join edges e on e.scope = s.scope and e.a = s.a and e.b = s.b left join (select scope, a, b, weight * 2 as weight from edges where co_count % 2 = 0 union all select scope, a, b, 0.5 from sup where co_count % 7 = 3 and not exists (select 1 from edges x where x.scope = sup.scope and x.a = sup.a and x.b = sup.b)) d on d.scope = s.scope and d.a = s.a and d.b = s.b where coalesce(d.weight, e.weight) > 0")
 def effective_edges(spark, d):
-    g = BasketGraph(spark, d)
-    return R.effective_edges(g.edges, g.edges.withColumn("weight", F.col("weight") * 2), graph.pair_support(g.marks))
+    g = BasketGraph.opened(spark, d)
+    support = graph.pair_support(g.marks)
+    doubled = g.edges.where("co_count % 2 = 0").select("scope", "a", "b", F.col("weight") * 2)
+    learnt = support.where("co_count % 7 = 3").join(g.edges, ["scope", "a", "b"], "left_anti").select("scope", "a", "b", F.lit(0.5))
+    return R.effective_edges(g.edges, doubled.union(learnt).toDF("scope", "a", "b", "weight"), support)
 
 
 # ---- diagnostics ----
@@ -293,13 +287,13 @@ mo as (select f.scope, count(*) as active_marks, sum(f)::bigint as annotation_oc
 
 @query(f"{_BASKET}, {_DIAG}, ve as (select scope, count(distinct record_id) as active_records, count(distinct source_id) as active_source_versions from am group by scope) select * from ve join mo using (scope) join po using (scope)")
 def npmi_diagnostics(spark, d):
-    g = BasketGraph(spark, d)
+    g = BasketGraph.opened(spark, d)
     return diagnostics.npmi_diagnostics(g.records, g.marks, graph.pair_support(g.marks), g.edges, diagnostics.pair_sources(graph.pair_evidence(g.marks), g.records))
 
 
 @query(f"{_TEXT} select scope, mark, f as frequency, row_number() over (partition by scope order by f desc, mark) as rank from f qualify rank <= 500")
 def node_listing(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     return diagnostics.node_listing(g.marks, g.edges)
 
 
@@ -307,13 +301,13 @@ def node_listing(spark, d):
 shown as (select s.scope, s.a, s.b, s.co_count, e.weight from sup s left join edges e on e.scope = s.scope and e.a = s.a and e.b = s.b where (s.scope, s.a) in (select scope, mark from nodes) and (s.scope, s.b) in (select scope, mark from nodes))
 select *, row_number() over (partition by scope order by coalesce(weight > 0, false) desc, weight desc nulls last, a, b) as rank from shown qualify rank <= 1000""")
 def edge_listing(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     return diagnostics.edge_listing(graph.pair_support(g.marks), g.edges, diagnostics.node_listing(g.marks, g.edges))
 
 
 @query(f"{_BASKET}, {_DIAG} select s.scope, s.a, s.b, s.co_count, fa.f as frequency_a, fb.f as frequency_b, n as active_records, s.weight as static_weight, round(raw, 4) + 0.0 as recomputed_npmi, sources from supported s join raw r on r.scope = s.scope and r.a = s.a and r.b = s.b join f fa on fa.scope = s.scope and fa.mark = s.a join f fb on fb.scope = s.scope and fb.mark = s.b join n on n.scope = s.scope")
 def edge_detail(spark, d):
-    g = BasketGraph(spark, d)
+    g = BasketGraph.opened(spark, d)
     return diagnostics.edge_details(g.marks, g.counts, graph.pair_support(g.marks), g.edges, diagnostics.pair_sources(graph.pair_evidence(g.marks), g.records))
 
 
@@ -510,10 +504,10 @@ def status_roll_up(spark, d):
 
 @query()
 def evidence_greedy(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     rank = F.struct((-F.col("direct")).alias("d"), (-F.col("score")).alias("s"), (-F.col("record_id")).alias("r"))
     pool = g.ranked.withColumn("baseline_rank", rank)
-    index = R.record_terms(g.records)
+    index = R.record_terms(g.record_texts)
     terms = g.queries.select("query_id", "scope", F.explode(T.focus_terms(F.col("text"))).alias("term"))
     df = index.join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi").groupBy("scope", "term").agg(F.count("*").alias("df"))
     weights = evidence.concept_weights(terms, df, g.counts)
@@ -620,9 +614,9 @@ def budget_state(spark, d):
     return ledger.budget_state(calls, ceilings)
 
 
-@query("select o_orderkey, o_custkey * 3500 + o_orderkey * 12250 as nano from orders")
+@query("select o_orderkey, (o_custkey * 3507 + o_orderkey * 12251 + 9999) // 10000 as nano from orders")
 def exact_cost(spark, d):
-    return A.read(spark, d, "orders").select("o_orderkey", T.cost_nano(F.col("o_custkey"), F.col("o_orderkey"), "3.5", "12.25").alias("nano"))
+    return A.read(spark, d, "orders").select("o_orderkey", T.cost_nano(F.col("o_custkey"), F.col("o_orderkey"), "0.0003507", "0.0012251").alias("nano"))
 
 
 @query()

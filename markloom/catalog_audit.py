@@ -18,7 +18,7 @@ k as (select scope, a, b, case when a >= b then 'wrong_order' when w is null the
 select scope, a, b, kind from k where kind is not null""")
 def audit_violations(spark, d):
     """The edges recomputed from the records, against a copy in which rows were changed, left out, turned and made up."""
-    g = BasketGraph(spark, d)
+    g = BasketGraph.opened(spark, d)
     e = g.edges
     changed = e.where("co_count % 5 <> 1").select("scope", "a", "b", F.when(F.col("co_count") % 3 == 0, F.col("weight") + 0.01).otherwise(F.col("weight")).alias("weight"))
     turned = e.where("co_count = 7").select("scope", F.col("b").alias("a"), F.col("a").alias("b"), "weight")
@@ -40,13 +40,13 @@ decided2 as (select *, case when rank <= 3 then null when direct = 0 then 'no_di
 
 @query(f"{_DECIDED} select query_id, record_id, rank, reason, reason is null as selected from decided2")
 def selection_reasons(spark, d):
-    return audit.decided(TextGraph(spark, d).ranked).select("query_id", "record_id", "rank", "reason", "selected")
+    return audit.decided(TextGraph.opened(spark, d).ranked).select("query_id", "record_id", "rank", "reason", "selected")
 
 
 @query(f"""{_DECIDED} select query_id, record_id, case when rank = 2 then 'both' when rank = 5 then 'neither' end as kind from decided2 where rank in (2, 5) union all select query_id, -1, 'unknown' from decided2 where rank = 1""")
 def partition_violations(spark, d):
     """A decision whose second place is also excluded, whose fifth is in neither part, and that knows a record too many."""
-    rows = audit.decided(TextGraph(spark, d).ranked)
+    rows = audit.decided(TextGraph.opened(spark, d).ranked)
     more = rows.where("rank = 1").select("query_id", F.lit(-1).cast("bigint").alias("record_id"))
     excluded = rows.where("rank = 2 or (not selected and rank <> 5)").select("query_id", "record_id")
     return audit.partition_violations(rows, rows.where("selected").select("query_id", "record_id").unionByName(more), excluded, ["query_id", "record_id"])
@@ -59,7 +59,7 @@ select scope, a, b, case when dy.weight is null then 'direct_reinforcement' end
 from dy full join (select *, true from hp) hp using (scope, a, b) left join sup using (scope, a, b) left join edges e using (scope, a, b)""")
 def edge_transitions(spark, d):
     """One event, whose hits are the first and the last mark of a scope's edges, on the edges of even support."""
-    g = BasketGraph(spark, d)
+    g = BasketGraph.opened(spark, d)
     ends = g.edges.groupBy("scope").agg(F.min("a").alias("x"), F.max("b").alias("y"))
     hits = ends.select("scope", F.explode(F.array("x", "y")).alias("mark"))
     return audit.transitions(g.edges, g.edges.where("co_count % 2 = 0"), hits, graph.pair_support(g.marks))
@@ -78,14 +78,14 @@ def _version_digests(spark, d):
 
 @query(f"{_FROZEN} select query_id, rank, citation, record_id, digest, bound from fro")
 def frozen_references(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     return audit.frozen(R.references(g.ranked, g.records), _version_digests(spark, d)).select("query_id", "rank", "citation", "record_id", "digest", "bound")
 
 
 @query(f"{_FROZEN} select query_id, case when query_id % 5 = 3 and rank = 3 then 4 else rank end as rank, case when query_id % 5 = 0 then 'text_differs' when query_id % 5 = 1 then 'record_gone' when query_id % 5 = 2 then 'digest_differs' else 'rank_gap' end as kind from fro where query_id % 5 <= 2 or query_id % 5 = 3 and rank = 3")
 def retrieval_violations(spark, d):
     """Frozen references of which some had their text, record, digest or rank changed."""
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     rows = audit.frozen(R.references(g.ranked, g.records), _version_digests(spark, d))
     k = F.col("query_id") % 5
     rows = rows.withColumn("text", F.when(k == 0, F.concat(F.lit("~"), "text")).otherwise(F.col("text"))).withColumn("record_id", F.when(k == 1, -F.col("record_id") - 1).otherwise(F.col("record_id"))).withColumn("bound", F.when(k == 2, F.lit("forged")).otherwise(F.col("bound"))).withColumn("rank", F.when((k == 3) & (F.col("rank") == 3), 4).otherwise(F.col("rank")))
@@ -95,7 +95,7 @@ def retrieval_violations(spark, d):
 @query(f"""{_RETRIEVE}, counted as (select scope, 'matches' as stage, count(*) as counted from matches group by scope union all select scope, 'hits', count(*) from hits group by scope union all select scope, 'candidates', count(*) from cand group by scope union all select scope, 'expanded', count(*) from expanded group by scope)
 select scope, stage, counted, counted + 1 as told from counted where stage in ('hits', 'expanded')""")
 def counter_mismatches(spark, d):
-    g = TextGraph(spark, d)
+    g = TextGraph.opened(spark, d)
     stages = {"matches": g.matches, "hits": g.hits, "candidates": g.candidates, "expanded": g.expanded}
     counted = None
     for name, rows in stages.items():

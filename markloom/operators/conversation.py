@@ -53,8 +53,8 @@ def contiguous_checkpoint(checkpoints: DataFrame, messages: DataFrame, conversat
 
 
 def deduplicated_turns(messages: DataFrame) -> DataFrame:
-    """The first row of each message id."""
-    return messages.dropDuplicates(["message_id"])
+    """The first row of each message id, by seq."""
+    return messages.withColumn("_rn", F.row_number().over(W.partitionBy("message_id").orderBy("seq"))).where("_rn = 1").drop("_rn")
 
 
 def with_previous_user_message(messages: DataFrame, conversation: str = "conv_id") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from markloom.functions import text as T
+from markloom.sources.files import saved
 
 
 def record_counts(records: DataFrame) -> DataFrame:
@@ -73,25 +74,26 @@ def directed_edges(edges: DataFrame) -> DataFrame:
 
 
 def mark_dictionary(marks: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-    """(label, id): ids are kept from an earlier dictionary; new labels get the next ones in order.
+    """(label, id): ids are kept from an earlier dictionary; new labels get the next ones in their order.
 
-    New ids come from a global rank in two steps (counts by range, then offsets), not from one sorted partition."""
+    Labels are dealt by ranges, numbered within each range, and offset by what the ranges before it hold: one row a
+    range is all that meets in one place."""
     labels = marks.select(F.col("mark").alias("label")).distinct()
     base = 0
     if earlier is not None:
         labels = labels.join(earlier, "label", "left_anti")
         base = earlier.agg(F.max("id")).head()[0] or 0
-    bucket = F.pmod(F.xxhash64(F.substring("label", 1, 2)), F.lit(1024))
-    sized = labels.withColumn("bucket", bucket)
-    offsets = sized.groupBy("bucket").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    fresh = sized.join(offsets, "bucket").select("label", (F.row_number().over(W.partitionBy("bucket").orderBy("label")) + F.col("before") + base).alias("id"))
+    in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    numbered = saved(labels.repartitionByRange("label").sortWithinPartitions("label").select("label", F.spark_partition_id().alias("part"), in_part.alias("k")), "labels")
+    offsets = numbered.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    fresh = numbered.join(F.broadcast(offsets), "part").select("label", (F.col("k") + F.col("before") + 1 + base).alias("id"))
     return fresh if earlier is None else earlier.select("label", "id").unionByName(fresh)
 
 
-def prefix_trie(marks: DataFrame, longest: int = 40) -> DataFrame:
-    """(scope, prefix, terminals): how many marks have the prefix, and whether it is one."""
+def prefix_trie(marks: DataFrame) -> DataFrame:
+    """(scope, prefix, below, terminal): how many marks have the prefix, and whether it is one."""
     known = marks.select("scope", "mark").distinct()
-    nodes = known.select("scope", "mark", F.explode(F.sequence(F.lit(1), F.least(F.length("mark"), F.lit(longest)))).alias("k"))
+    nodes = known.select("scope", "mark", F.explode(F.sequence(F.lit(1), F.length("mark"))).alias("k"))
     return nodes.groupBy("scope", F.expr("substring(mark, 1, k)").alias("prefix")).agg(F.count("*").alias("below"), F.max((F.length("mark") == F.col("k")).cast("int")).alias("terminal"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from markloom.functions import text as T
+from markloom.sources.files import saved
 
 MAX_DIRECT, NEIGHBORS, MAX_EXTRA, MAX_REFERENCES, MAX_TEXT, MAX_ENTRY = 4, 5, 2, 3, 400, 110
 MAX_CONCEPT_MARKS, MAX_LEXICAL = 64, 128
@@ -23,17 +24,17 @@ def literal_matches(queries: DataFrame, known: DataFrame) -> DataFrame:
     equality, and the mark is then verified where it is more than that run. Other marks meet by their
     first three characters (or all, if fewer), which the query is cut into.
     """
-    folded = queries.select("query_id", "scope", T.fold_ascii(F.col("text")).alias("q"), F.lower("text").alias("lower"))
+    folded = queries.select("query_id", "scope", T.fold_ascii(F.col("text")).alias("q"), T.folded(F.col("text")).alias("lower"))
     run = F.regexp_extract("mark", T.WORD_RUN, 0)
     latin = known.where(T.is_latin(F.col("mark"))).select("scope", "mark").distinct().withColumn("run", run)
     runs = folded.select("query_id", "scope", "q", "lower", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(T.WORD_RUN), F.lit(0)))).alias("run"))
     plain = runs.select("query_id", "scope", "run").join(latin.where("mark = run"), ["scope", "run"]).select("query_id", "scope", "mark")
     marked = runs.select("query_id", "scope", "run", "q").join(latin.where("mark <> run and run <> ''"), ["scope", "run"]).where(T.hit(F.col("mark"), F.col("q"))).select("query_id", "scope", "mark").distinct()
-    other = known.where(~T.is_latin(F.col("mark")) | (run == "")).select("scope", "mark").distinct().withColumn("gram", F.substring(F.lower("mark"), 1, 3))
+    other = known.where(~T.is_latin(F.col("mark")) | (run == "")).select("scope", "mark").distinct().withColumn("gram", F.substring(T.folded(F.col("mark")), 1, 3))
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("lower"), F.lit(1))), lambda i: F.array(*[F.substring("lower", i, F.lit(k)) for k in (1, 2, 3)]))))
     some = other.select("scope").distinct()  # scopes without such marks cut no queries
     cut = folded.join(some, "scope", "left_semi").select("query_id", "scope", "lower", F.explode(grams).alias("gram"))
-    wide = cut.join(other, ["scope", "gram"]).where(T.hit(F.col("mark"), F.col("lower"))).select("query_id", "scope", "mark").distinct()
+    wide = cut.join(other, ["scope", "gram"]).where(F.contains(F.col("lower"), T.folded(F.col("mark")))).select("query_id", "scope", "mark").distinct()
     return plain.unionByName(marked).unionByName(wide)
 
 
@@ -56,10 +57,10 @@ def expansion_candidates(hits: DataFrame, matches: DataFrame, edges: DataFrame,
 def gated(pairs: DataFrame, matches: DataFrame, context: DataFrame) -> DataFrame:
     """pairs(query_id, scope, a, b) with context_passed: no context mark at all, or one that hits the query."""
     asked = pairs.select("scope", "a", "b").distinct()
-    beside = context.join(asked, ["scope", "a", "b"], "left_semi")
-    has = beside.select("scope", "a", "b").distinct().withColumn("has_context", F.lit(True))
-    wanted = pairs.select("query_id", "scope", "a", "b").distinct()
-    passed = wanted.join(beside.withColumnRenamed("mark", "c"), ["scope", "a", "b"]).join(matches.select("query_id", F.col("mark").alias("c")), ["query_id", "c"]).select("query_id", "scope", "a", "b").distinct().withColumn("context_hit", F.lit(True))
+    has = context.select("scope", "a", "b").join(asked, ["scope", "a", "b"], "left_semi").distinct().withColumn("has_context", F.lit(True))
+    # a pair may have thousands of context marks, a query has few matches: these ask for themselves
+    wanted = pairs.select("query_id", "scope", "a", "b").distinct().join(matches.select("query_id", "mark").distinct(), "query_id")
+    passed = wanted.join(context, ["scope", "a", "b", "mark"], "left_semi").select("query_id", "scope", "a", "b").distinct().withColumn("context_hit", F.lit(True))
     both = pairs.join(has, ["scope", "a", "b"], "left").join(passed, ["query_id", "scope", "a", "b"], "left")
     return both.withColumn("context_passed", F.col("has_context").isNull() | F.col("context_hit").isNotNull()).drop("has_context", "context_hit")
 
@@ -129,9 +130,19 @@ def concept_hits(queries: DataFrame, marks: DataFrame, counts: DataFrame, limit:
     return weighted.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit).select("query_id", "scope", "mark", "weight", "hit_rank")
 
 
-def record_terms(records: DataFrame) -> DataFrame:
+def record_texts(records: DataFrame, marks: DataFrame) -> DataFrame:
+    """(scope, record_id, source_id, text, normal, terms, marks, kind): what relevance asks of a record, worked out once."""
+    own = marks.groupBy("scope", "record_id").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
+    normal = records.select("scope", "record_id", "source_id", "text", T.normalize(F.col("text")).alias("normal"))
+    terms = F.array_distinct(F.regexp_extract_all("normal", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
+    return normal.withColumn("terms", terms).withColumn("kind", T.metadata_kind(F.col("text"))).join(own, ["scope", "record_id"], "left")
+
+
+def record_terms(texts: DataFrame) -> DataFrame:
     """(scope, record_id, term): the body index, one row for each distinct word run of a normalised text."""
-    return records.select("scope", "record_id", F.explode(F.array_distinct(F.regexp_extract_all(T.normalize(F.col("text")), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("term"))
+    if "terms" in texts.columns:
+        return texts.select("scope", "record_id", F.explode("terms").alias("term"))
+    return texts.select("scope", "record_id", F.explode(F.array_distinct(F.regexp_extract_all(T.normalize(F.col("text")), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))).alias("term"))
 
 
 def term_weights(queries: DataFrame, index: DataFrame, counts: DataFrame) -> DataFrame:
@@ -161,33 +172,37 @@ def source_hints(records: DataFrame, width: int = 4000) -> DataFrame:
     return head.join(identity, ["scope", "source_id"], "left").select("scope", "source_id", F.concat("header", F.lit("\n"), F.coalesce("identity", F.lit(""))).alias("hint"))
 
 
-def retrieve_concept(queries: DataFrame, records: DataFrame, marks: DataFrame, edges: DataFrame, context: DataFrame, counts: DataFrame) -> DataFrame:
-    """Retrieval ranked by relevance: marks and topic words by rarity, the text's kind, answer form and source."""
-    hits = concept_hits(queries, marks, counts)
-    matches = literal_matches(queries, marks.select("scope", "mark").distinct()).unionByName(hits.select("query_id", "scope", "mark")).distinct()
+def retrieve_concept(queries: DataFrame, texts: DataFrame, marks: DataFrame, edges: DataFrame, context: DataFrame, counts: DataFrame) -> DataFrame:
+    """Retrieval ranked by relevance: marks and topic words by rarity, the text's kind, answer form and source; texts: record_texts."""
+    hits = saved(concept_hits(queries, marks, counts), "concept-hits")
+    matches = saved(literal_matches(queries, marks.select("scope", "mark").distinct()).unionByName(hits.select("query_id", "scope", "mark")).distinct(), "concept-matches")
     expanded = expanded_marks(expansion_candidates(hits, matches, edges, context))
-    index = record_terms(records)
-    weights = term_weights(queries, index, counts)
+    index = record_terms(texts)
+    weights = saved(term_weights(queries, index, counts), "term-weights")
     pool = lexical_pool(weights, index)
     graph = ranked_candidates(hits, expanded, direct_evidence(hits, matches, edges, context), marks)
     both = graph.select("query_id", "scope", "record_id", "score").unionByName(pool.select("query_id", "scope", "record_id", F.lit(0.0).alias("score"))).groupBy("query_id", "scope", "record_id").agg(F.max("score").alias("score"))
-    body = index.join(weights, ["scope", "term"]).groupBy("query_id", "scope", "record_id").agg(F.sum("weight").alias("body"), F.collect_set("term").alias("body_terms"))
-    own = marks.join(hits.select("query_id", "scope", "mark", "weight"), ["scope", "mark"]).groupBy("query_id", "scope", "record_id").agg(F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.length("mark")).alias("l"), "mark")).alias("own"))
-    asked = queries.select("query_id", T.source_identity(F.col("text")).alias("names"), T.question_focus(F.col("text")).alias("focus"))
-    rows = both.join(body, ["query_id", "scope", "record_id"], "left").join(own, ["query_id", "scope", "record_id"], "left").join(asked, "query_id").join(records.select("scope", "record_id", "source_id", F.col("text").alias("body_text")), ["scope", "record_id"]).join(source_hints(records), ["scope", "source_id"], "left")
+    # a query's marks (64 at most) and topic words (32) come as arrays, and meet the record's own arrays in its row
+    of_hits = hits.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.length("mark")).alias("l"), "mark")).alias("query_hits"))
+    of_terms = weights.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("query_terms"))
+    asked = queries.select("query_id", T.source_identity(F.col("text")).alias("names"), T.question_focus(F.col("text")).alias("focus")).join(of_hits, "query_id", "left").join(of_terms, "query_id", "left")
+    rows = both.join(texts.select("scope", "record_id", "source_id", F.col("text").alias("body_text"), "normal", "terms", "marks", "kind"), ["scope", "record_id"]).join(asked, "query_id").join(source_hints(texts).withColumn("normal_hint", T.normalize(F.col("hint"))), ["scope", "source_id"], "left")
+    rows = rows.withColumn("own", F.expr("filter(coalesce(query_hits, array()), h -> array_contains(coalesce(marks, array()), h.mark))")).withColumn("found", F.expr("filter(coalesce(query_terms, array()), t -> array_contains(terms, t.term))"))
+    rows = rows.withColumn("body", F.expr("aggregate(found, 0D, (s, t) -> s + t.weight)")).withColumn("body_terms", F.expr("transform(found, t -> t.term)"))
     # overlapping phrases count once: the heavier and longer mark stays
-    chosen = F.expr("aggregate(array_sort(coalesce(own, array())), cast(array() as array<struct<w:double,l:int,mark:string>>), (a, x) -> if(exists(a, y -> rlike(y.mark, concat('(?<![A-Za-z0-9_])\\\\Q', x.mark, '\\\\E(?![A-Za-z0-9_])'))), a, array_append(a, x)))")
-    rows = rows.withColumn("chosen", chosen).withColumn("normal", T.normalize(F.col("body_text")))
-    mark_part = F.round(F.expr("0.25 * aggregate(chosen, 0D, (s, x) -> s - x.w * if(rlike(normal, concat('(?<![A-Za-z0-9_])\\\\Q', x.mark, '\\\\E(?![A-Za-z0-9_])')), 1D, 0.15D))"), 6)
+    chosen = F.expr("aggregate(array_sort(own), cast(array() as array<struct<w:double,l:int,mark:string>>), (a, x) -> if(exists(a, y -> rlike(y.mark, concat('(?<![A-Za-z0-9_])\\Q', x.mark, '\\E(?![A-Za-z0-9_])'))), a, array_append(a, x)))")
+    rows = rows.withColumn("chosen", chosen)
+    # a mark that is one run of word characters stands in a text at word borders if it is one of the text's terms
+    stands = "if(rlike(x.mark, '^[a-z0-9_]+$'), array_contains(terms, x.mark), rlike(normal, concat('(?<![A-Za-z0-9_])\\Q', x.mark, '\\E(?![A-Za-z0-9_])')))"
+    mark_part = F.round(F.expr(f"0.25 * aggregate(chosen, 0D, (s, x) -> s - x.w * if({stands}, 1D, 0.15D))"), 6)
     hint = F.lower(F.coalesce("hint", F.lit("")))
-    prior = F.when(F.expr("exists(names.dois, d -> contains(lower(coalesce(hint, '')), d)) or exists(names.titles, t -> contains(regexp_replace(lower(coalesce(hint, '')), '[\\\\s-]+', ' '), t))"), 12.0).when(F.expr("exists(names.years, y -> contains(coalesce(hint, ''), y))"), 4.0).otherwise(0.0)
+    prior = F.when(F.expr("exists(names.dois, d -> contains(lower(coalesce(hint, '')), d)) or exists(names.titles, t -> contains(coalesce(normal_hint, ''), t))"), 12.0).when(F.expr("exists(names.years, y -> contains(coalesce(hint, ''), y))"), 4.0).otherwise(0.0)
     listed = F.col("focus").rlike(r"(?i)几类|哪.*类|哪些类型|\b(?:classes|categories|types|kinds)\b") & F.col("normal").rlike(r"\b(?:include|includes|comprise|comprises|consist|types|classes|categories)\b[^.]{0,250}(?:,[^.]{0,80}){3}")
     defined = F.col("focus").rlike(r"(?i)具体.*(?:哪|什么)|\b(?:define|definition|what.*(?:descriptor|difference|parameter))\b") & F.expr("exists(coalesce(body_terms, array()), t -> length(t) >= 5 and rlike(normal, concat('\\\\b(?:is|means|defined|denotes|represents)\\\\b[^.]{0,100}\\\\b\\\\Q', t, '\\\\E\\\\b')))")
     bonus = F.when(listed, 10.0).when(defined, 6.0).otherwise(0.0)
-    kind = T.metadata_kind(F.col("body_text"))
-    relevance = F.round(T.metadata_factor(kind) * (mark_part + F.round(F.coalesce("body", F.lit(0.0)), 6) + bonus) + prior, 6)
+    relevance = F.round(T.metadata_factor(F.col("kind")) * (mark_part + F.round(F.coalesce("body", F.lit(0.0)), 6) + bonus) + prior, 6)
     ranked = rows.select("query_id", "scope", "record_id", "score", relevance.alias("relevance"), F.size("chosen").alias("direct"), hint.isNotNull().alias("hinted")).drop("hinted")
-    return references(ranked, records, [F.col("relevance").desc(), F.col("score").desc(), F.col("record_id").desc()])
+    return references(ranked, texts, [F.col("relevance").desc(), F.col("score").desc(), F.col("record_id").desc()])
 
 
 def graph_rerank(ranked: DataFrame, hits: DataFrame, marks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,6 +13,22 @@ from markloom.sources import adapters as A
 from markloom.sources.files import saved
 
 
+#: By application, kind and folder: the version of the inputs and the graph over them.
+_OPEN: dict[tuple, tuple] = {}
+_INPUTS = ("documents", "labels", "benchmark", "conversations", "orders", "lineitem", "part")
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> str:
+    """Names, lengths and times of the input files."""
+    found = []
+    for name in _INPUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for at in fs.listStatus(path):
+            found.append(f"{at.getPath()} {at.getLen()} {at.getModificationTime()}")
+    return "\n".join(sorted(found))
+
+
 @dataclass
 class TextGraph:
     """The graph over document chunks. Marks, edges, contexts and matches are derived tables, written once when first
@@ -21,9 +37,22 @@ class TextGraph:
     spark: SparkSession
     sf_dir: str
 
+    @classmethod
+    def opened(cls, spark: SparkSession, sf_dir: str) -> TextGraph:
+        """The graph's tables as this application wrote them before, if its inputs' files are still the same; else a new one."""
+        key = (spark.sparkContext.applicationId, cls.__name__, sf_dir)
+        version = input_version(spark, sf_dir)
+        if key not in _OPEN or _OPEN[key][0] != version:
+            _OPEN[key] = (version, cls(spark, sf_dir))
+        return _OPEN[key][1]
+
     @cached_property
     def records(self) -> DataFrame:
-        return A.records(self.spark, self.sf_dir).where("active")
+        return saved(A.records(self.spark, self.sf_dir).where("active"), "records")
+
+    @cached_property
+    def record_texts(self) -> DataFrame:
+        return saved(R.record_texts(self.records, self.marks), "record-texts")
 
     @cached_property
     def marks(self) -> DataFrame:
@@ -39,7 +68,7 @@ class TextGraph:
 
     @cached_property
     def directed(self) -> DataFrame:
-        return graph.directed_edges(self.edges)
+        return saved(graph.directed_edges(self.edges), "directed")
 
     @cached_property
     def context(self) -> DataFrame:
