@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markloom.functions import rules
 from markloom.functions import text as T
 from markloom.operators import analytics, conversation, diagnostics, dynamics, eventlog, evidence, files, graph, ledger
 from markloom.operators import retrieval as R
@@ -219,10 +220,14 @@ def lexical_pool(spark, d):
     return R.lexical_pool(R.term_weights(g.queries, index, g.counts), index)
 
 
-@query(r"""select kind, count(*) as documents from (select case
-  when len(regexp_extract_all(text, '(?:^|\n)\s*(?:\[\d+\]|\d+[.)])\s*(?:[A-Z]\.\s*[A-Z][a-z]|[A-Z][a-z]+,\s*[A-Z]\.)')) >= 2 or (len(regexp_extract_all(text, '\b(?:19|20)\d{2}\b')) >= 3 and len(regexp_extract_all(text, '\b[A-Z]\.\s')) >= 4) then 'bibliography'
-  when regexp_matches(text, '(?i)(?:all rights reserved|www\.|©|copyright|published online|received:|accepted:)') then 'publication_metadata'
-  when regexp_matches(text, '(?i)\bdoi\s*:|10\.\d{4,9}/') and regexp_matches(text, '\b(?:19|20)\d{2}\b') then 'publication_identity' else 'body_or_title' end as kind from documents) group by kind""")
+def _times(text: str, pattern: str, n: int) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}')) >= {n}"
+
+
+_KIND = "case " + " ".join(f"when {' or '.join('(' + ' and '.join(_times('text', p, n) for p, n in way) + ')' for way in ways)} then '{name}'" for name, _, ways in rules.KINDS) + f" else '{rules.OTHER_KIND}' end"
+
+
+@query(f"select kind, count(*) as documents from (select {_KIND} as kind from documents) group by kind")
 def metadata_kinds(spark, d):
     return A.read(spark, d, "documents").select(T.metadata_kind(F.col("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("documents"))
 
@@ -517,9 +522,18 @@ def evidence_greedy(spark, d):
     return evidence.greedy(evidence.deduplicated(rows).drop("scope", "eligible"), weights)
 
 
-@query(r"""select record_id, line_no, start, case when regexp_matches(line, '(?i)all rights reserved|copyright|©|www\.|published online|received:|accepted:') and length(line) < 220 then 'publication_metadata' when regexp_matches(line, '(?i)^\s*(?:Fig(?:ure)?\.?|Scheme|Table)\s*\d+\b|^\s*[图表]\s*\d+') then 'caption'
- when regexp_matches(line, '^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*(?:(?:[A-Z]\.\s*){1,4}[A-Z][a-z]|[A-Z][a-z]+,)') and regexp_matches(line, '\b(?:19|20)\d{2}\b')::int + regexp_matches(line, '(?i)\b(?:doi|vol\.|pp\.)|10\.\d{4,9}/')::int + (len(regexp_extract_all(line, '\b[A-Z]\.\s*[A-Z]')) >= 2)::int + regexp_matches(line, '\b(?:J\.|Journal|Chem\.|Phys\.|Catal\.|Rev\.)')::int >= 2 then 'bibliography' else 'body' end as kind
-from (select doc_id as record_id, i - 1 as line_no, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as i from (select doc_id, string_split(text, chr(10)) as x from documents)))""")
+def _signs(text: str) -> str:
+    return " + ".join(f"({_times(text, p, n)})::int" for p, n in rules.ENTRY_SIGNS) + " >= 2"
+
+
+@query(f"""with l as (select record_id, i - 1 as line_no, line, coalesce(sum(length(line) + 1) over (partition by record_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from (select doc_id as record_id, unnest(x) as line, generate_subscripts(x, 1) as i from (select doc_id, string_split(text, chr(10)) as x from documents))),
+j as (select *, regexp_matches(line, '{rules.ENTRY_START}') as begins, case when regexp_matches(line, '{rules.LINE_NOTICE}') and length(line) < {rules.LINE_NOTICE_LENGTH} then 'publication_metadata' when regexp_matches(line, '{rules.CAPTION}') then 'caption' when regexp_matches(line, '{rules.ENTRY_START}') and {_signs('line')} then 'bibliography' else 'body' end as alone from l),
+m as (select *, case when begins then line_no when not regexp_matches(line, '\\S') or alone <> 'body' or regexp_matches(line, '{rules.SENTENCE}') then -1 end as mark from j),
+h as (select *, last_value(mark ignore nulls) over (partition by record_id order by line_no rows between unbounded preceding and current row) as last from m),
+e as (select *, case when last >= 0 and line_no - last <= {rules.WRAPPED_LINES} then last end as entry from h),
+w as (select record_id, entry from (select record_id, entry, string_agg(line, ' ' order by line_no) as whole from e where entry is not null group by all) where {_signs('whole')})
+select e.record_id, line_no, start, case when w.entry is not null then 'bibliography' else alone end as kind from e left join w on w.record_id = e.record_id and w.entry = e.entry""")
 def line_kinds(spark, d):
     return evidence.line_kinds(A.read(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "text"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from markloom.functions import rules
 from markloom.functions import text as T
 from markloom.sources.files import saved
 
@@ -197,8 +198,8 @@ def retrieve_concept(queries: DataFrame, texts: DataFrame, marks: DataFrame, edg
     mark_part = F.round(F.expr(f"0.25 * aggregate(chosen, 0D, (s, x) -> s - x.w * if({stands}, 1D, 0.15D))"), 6)
     hint = F.lower(F.coalesce("hint", F.lit("")))
     prior = F.when(F.expr("exists(names.dois, d -> contains(lower(coalesce(hint, '')), d)) or exists(names.titles, t -> contains(coalesce(normal_hint, ''), t))"), 12.0).when(F.expr("exists(names.years, y -> contains(coalesce(hint, ''), y))"), 4.0).otherwise(0.0)
-    listed = F.col("focus").rlike(r"(?i)几类|哪.*类|哪些类型|\b(?:classes|categories|types|kinds)\b") & F.col("normal").rlike(r"\b(?:include|includes|comprise|comprises|consist|types|classes|categories)\b[^.]{0,250}(?:,[^.]{0,80}){3}")
-    defined = F.col("focus").rlike(r"(?i)具体.*(?:哪|什么)|\b(?:define|definition|what.*(?:descriptor|difference|parameter))\b") & F.expr("exists(coalesce(body_terms, array()), t -> length(t) >= 5 and rlike(normal, concat('\\\\b(?:is|means|defined|denotes|represents)\\\\b[^.]{0,100}\\\\b\\\\Q', t, '\\\\E\\\\b')))")
+    listed = F.col("focus").rlike(rules.ASKS_KINDS) & F.col("normal").rlike(rules.LISTS_KINDS)
+    defined = F.col("focus").rlike(rules.ASKS_DEFINITION) & F.expr("exists(coalesce(body_terms, array()), t -> length(t) >= 5 and rlike(normal, concat('\\\\b(?:is|means|defined|denotes|represents)\\\\b[^.]{0,100}\\\\b\\\\Q', t, '\\\\E\\\\b')))")
     bonus = F.when(listed, 10.0).when(defined, 6.0).otherwise(0.0)
     relevance = F.round(T.metadata_factor(F.col("kind")) * (mark_part + F.round(F.coalesce("body", F.lit(0.0)), 6) + bonus) + prior, 6)
     ranked = rows.select("query_id", "scope", "record_id", "score", relevance.alias("relevance"), F.size("chosen").alias("direct"), hint.isNotNull().alias("hinted")).drop("hinted")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markloom import session
 from markloom.functions import text as T
-from markloom.operators import audit, conversation
+from markloom.operators import audit, conversation, evidence
 from markloom.operators import graph
 from markloom.operators import retrieval as R
 from markloom.plans.batch import TextGraph
@@ -92,3 +92,9 @@ def test_audit_of_nothing_and_of_nulls(spark):
     assert [(f.record_id, f.start, f.subject) for f in facts] == [(3, 0, "a")]
     times = spark.createDataFrame([("2020-01-01T00:00:00Z",), ("2020-01-01 00:00:00",), ("2020-01-01T00:00:00.5+00:00",), (None,)], "t string").select(audit.utc_time(F.col("t")).alias("t")).collect()
     assert [t.t is None for t in times] == [False, True, False, True]
+
+
+def test_wrapped_entries(spark):
+    lines = ["[1] A. Smith, a title that goes on", "over a line, J. Phys. 2001", "This is a sentence.", "2) B. Jones, alone", "", "(3) Doe, J. one", "two", "three", "four, pp. 3", "five", "six 1999"]
+    got = {r.line_no: r.kind for r in evidence.line_kinds(spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "record_id int, text string")).where("record_id = 1").collect()}
+    assert [got[i] for i in range(11)] == ["bibliography"] * 2 + ["body"] * 3 + ["bibliography"] * 5 + ["body"]
