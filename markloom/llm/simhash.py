@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["row_no", "doc_id", "fp"])
 
-    return map_rows(docs, use, "row_no bigint, doc_id bigint, fp bigint")
+    return map_rows(bounded(docs), use, "row_no bigint, doc_id bigint, fp bigint")
 
 
 def _labels(a: np.ndarray, b: np.ndarray, n: int, labels: np.ndarray | None = None) -> np.ndarray:
