@@ -219,3 +219,31 @@ def occurrence_counts(spark, d):
 def guarded_projection(spark, d):
     wanted = F.col("p_type").startswith("STANDARD") | F.col("p_brand").like("Brand#1%")
     return A.read(spark, d, "part").select("p_partkey", audit.guarded(F.col("p_name"), 12).alias("short_name"), wanted.alias("wanted"))
+
+
+_CONCEPT_GRAPH = """c as (select l_partkey as cid, list_sort(list_distinct(list(case when l_orderkey % 97 = 0 then 0 else l_partkey + l_linenumber - 1 - (l_orderkey % 53 = 0)::int end))) as members, count(*) as frequency from lineitem group by 1),
+g as (select o_custkey as a, o_custkey + o_orderkey % 9 - 1 as b, o_orderkey % 60 as co_count, (o_orderkey % 110) / 100.0::double as npmi from orders)"""
+
+
+@query(f"""with {_CONCEPT_GRAPH}, k as (select unnest(list_filter([case when len(list_filter(members, lambda m: m < 1)) > 0 then 'members_not_positive' end, case when list_min(members) <> cid then 'cid_not_least_member' end], lambda x: x is not null)) as kind, cid::varchar as key from c
+  union all select 'member_shared', member::varchar from (select cid, unnest(members) as member from c) group by member having min(cid) <> max(cid)
+  union all select case when x.cid is null or y.cid is null then 'unknown_endpoint' when a >= b then 'wrong_order' when npmi <= 0 or npmi > 1 then 'npmi_out_of_range' when co_count > least(x.frequency, y.frequency) then 'co_count_too_large' end, a || '-' || b from g left join c x on x.cid = a left join c y on y.cid = b)
+select kind, key from k where kind is not null""")
+def concept_violations(spark, d):
+    member = F.when(F.col("l_orderkey") % 97 == 0, 0).otherwise(F.col("l_partkey") + F.col("l_linenumber") - 1 - (F.col("l_orderkey") % 53 == 0).cast("int"))
+    concepts = A.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("cid")).agg(F.array_sort(F.collect_set(member)).alias("members"), F.count("*").alias("frequency"))
+    edges = A.read(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 9 - 1).alias("b"), (F.col("o_orderkey") % 60).alias("co_count"), ((F.col("o_orderkey") % 110) / 100.0).alias("npmi"))
+    return audit.concept_violations(concepts, edges)
+
+
+_REDUCE = """k as (select c_custkey as query_id, (c_custkey + i) % 25 as cid, i as rank from customer, (values (1), (2), (3)) t(i)), b as (select n_nationkey as cid, (n_nationkey * 7 + j) % 40 as record_id from nation, (values (0), (1), (2), (3)) u(j)),
+cd as (select c_custkey as query_id, (c_custkey * 3 + j * 5) % 40 as record_id, j as native_rank from customer, (values (1), (2), (3), (4), (5)) u(j))"""
+
+
+@query(f"with {_REDUCE} select query_id, record_id, row_number() over (partition by query_id order by min(rank), min(native_rank), record_id) as place from k join b using (cid) join cd using (query_id, record_id) group by query_id, record_id")
+def native_order(spark, d):
+    who = A.read(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    ranked = who.select("query_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).withColumn("cid", (F.col("query_id") + F.col("rank")) % 25)
+    bindings = A.read(spark, d, "nation").select(F.col("n_nationkey").alias("cid"), F.explode(F.array(*map(F.lit, range(4)))).alias("j")).select("cid", ((F.col("cid") * 7 + F.col("j")) % 40).alias("record_id"))
+    own = who.select("query_id", F.explode(F.array(*map(F.lit, range(1, 6)))).alias("native_rank")).withColumn("record_id", (F.col("query_id") * 3 + F.col("native_rank") * 5) % 40)
+    return audit.native_order(ranked, bindings, own)

@@ -171,3 +171,31 @@ def utc_time(text: Column) -> Column:
 def guarded(value: Column, size: int) -> Column:
     """value, if it isn't longer than `size` characters."""
     return F.when(F.length(value) <= size, value)
+
+
+def concept_violations(concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, key): what breaks a graph of concepts(cid, members, frequency) and edges(a, b, co_count, npmi)."""
+    cid = F.col("cid").cast("string")
+    bad = F.filter(
+        F.array(
+            F.when((F.size("members") == 0) | F.exists("members", lambda m: m < 1), "members_not_positive"),
+            F.when(F.col("members") != F.array_sort(F.array_distinct("members")), "members_not_sorted"),
+            F.when(F.array_min("members") != F.col("cid"), "cid_not_least_member"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    own = concepts.select(F.explode(bad).alias("kind"), cid.alias("key"))
+    shared = concepts.select("cid", F.explode("members").alias("member")).groupBy("member").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select(F.lit("member_shared").alias("kind"), F.col("member").cast("string").alias("key"))
+    end = lambda k: concepts.select(F.col("cid").alias(k), F.col("frequency").alias(f"frequency_{k}"))
+    met = edges.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    unknown = F.col("frequency_a").isNull() | F.col("frequency_b").isNull()
+    kind = F.when(unknown, "unknown_endpoint").when(F.col("a") >= F.col("b"), "wrong_order").when(F.isnan("npmi") | (F.col("npmi") <= 0) | (F.col("npmi") > 1), "npmi_out_of_range").when(F.col("co_count") > F.least("frequency_a", "frequency_b"), "co_count_too_large")
+    return own.unionByName(shared).unionByName(met.select(kind.alias("kind"), F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("key")).where("kind is not null"))
+
+
+def native_order(ranked: DataFrame, bindings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, record_id, place): candidates by the best rank of a concept that they are bound to, then by their own rank."""
+    met = ranked.select("query_id", "cid", F.col("rank").alias("cid_rank")).join(bindings.select("cid", "record_id"), "cid").join(candidates.select("query_id", "record_id", "native_rank"), ["query_id", "record_id"])
+    best = met.groupBy("query_id", "record_id").agg(F.min("cid_rank").alias("cid_rank"), F.min("native_rank").alias("native_rank"))
+    order = W.partitionBy("query_id").orderBy("cid_rank", "native_rank", "record_id")
+    return best.select("query_id", "record_id", F.row_number().over(order).alias("place"))
