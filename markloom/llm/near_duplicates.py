@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, discard, map_rows, recorded, slices
+from .common import bounded, components, cut, discard, give_back, map_rows, recorded, slices
 
 WIDTH, SEED, COUNTERS, BLOCK = 5, 42, 1 << 17, 1 << 15
 #: A task remembers so many texts, to pass over copies; of more it hands copies on, which changes nothing but the time.
@@ -77,6 +77,7 @@ def apart(x: bytes, y: bytes) -> int:
 
 def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str | None]]]:
     """The (node, text) of a task by slices, each node once as long as there is room to remember them."""
+    give_back()
     seen: set[int] = set()
     for batch in batches:
         for piece in slices(batch):
