@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -18,6 +19,7 @@ from markloom.session import shared_folder, ship_package
 BATCH_ROWS = 256
 #: Texts of a batch are worked on in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +123,17 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, step)
 
 
+def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """data in pieces of about `size` bytes that part at ASCII white space, so that a long text's words are never all held at once."""
+    at = 0
+    while len(data) - at > size:
+        found = _BREAK.search(data, at + size)
+        end = found.start() if found else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:] if at else data
+
+
 def components(links: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of links(a, b) reaches; long columns.
 
