@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, divergence, line_dedup, pii, quality_classifier, quality_rules, role_repair, simhash, suffix_dedup, token_counts, warc
+from . import byte_bpe, decontaminate, divergence, language_model, line_dedup, pii, quality_classifier, quality_rules, role_repair, simhash, suffix_dedup, token_counts, warc
 from .common import table
 
 #: Stands for a secret of whoever runs this.
@@ -56,9 +56,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.report(table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_quality_classifier, op9_pii, op10_decontaminate, op11_divergence, op13_role_repair)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_byte_bpe, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_quality_classifier, op9_pii, op10_decontaminate, op11_divergence, op12_language_model, op13_role_repair)}
 ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op7_quality_rules": quality_rules.SQL, "op10_decontaminate": decontaminate.SQL, "op11_divergence": divergence.SQL}
