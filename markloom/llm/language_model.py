@@ -6,16 +6,16 @@ score is the text's sum of log10((c + 0.1) / (N + 0.1 (V + 1))).
 
 The model's words are the `CLASSES * WIDTH` most frequent ones, classes of `WIDTH` by rank; one more class holds all other tokens, known
 or not, which share its probability as the base does. P(word | history) = P(class | history) * P(word | class, history), either
-a softmax over a bias, which starts as the base's probability, and the weights of three hashed features of the history:
-the word before, the word before that (a skip feature), and both (a trigram's history). For words the features are hashed with the class. So a
-model without weights gives the base score, and every history's probabilities sum to one.
+a softmax over a bias, which is the base's probability, and the weights of hashed features of the history:
+the word before, the word before that (a skip feature) and, for words, both (a trigram's history). For words the features are hashed with
+the class. So a model without weights gives the base score, and every history's probabilities sum to one.
 
 Training goes over all training rows once, in `ROUNDS` rounds by a hash of the rows. In a round, each task starts from the
 broadcast weights and makes sparse gradient steps (Adagrad by row of weights) over batches of its tokens; the weights come back in
 chunks, and a row's new weights are the tasks' mean by how often they met it. The chunks are added one after the other in
 sorted partitions, so their number matters to no task's memory. What reaches the driver is the model, 3 MB at any size of the corpus.
 
-Counts cover every training token: words are counted within tasks, then summed. The `DICTIONARY` most frequent ones are broadcast (at most
+Counts cover every training token: words are counted within tasks, then summed. The most frequent ones, `DICTIONARY` at most, are broadcast (at most
 `LONG` bytes each); all others are joined by token, none of them frequent unless there are over DICTIONARY as frequent.
 Tokens of over LONG bytes are known by their SHA-256.
 
@@ -30,6 +30,7 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -42,7 +43,7 @@ from .common import blocks, bounded_batches, cut, give_back, slices
 
 CLASSES, WIDTH = 31, 32
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
-ROUNDS, STEP, RATE = 2, 4096, 0.7
+ROUNDS, FIRST_STEP, STEP, RATE = 2, 1024, 16384, 0.7
 DICTIONARY, LONG = 1 << 16, 256
 ALPHA = 0.1
 #: Words that a task counts before it hands them on.
@@ -150,10 +151,10 @@ class Stream:
     def add(self, some: list[bytes], before: np.ndarray) -> np.ndarray:
         """Words that come after the two hashed in before; returns the last two hashed."""
         get = self.get
-        ids = np.array([get(w, -1) for w in some], np.int64)
+        ids = np.fromiter(map(get, some, repeat(-1)), np.int64, len(some))
         hashed = ids + 7
         if len(unknown := np.flatnonzero(ids < 0)):
-            hashed[unknown] = [(zlib.crc32(some[i]) | 1 << 32) for i in unknown.tolist()]
+            hashed[unknown] = np.fromiter(map(zlib.crc32, map(some.__getitem__, unknown.tolist())), np.int64, len(unknown)) | 1 << 32
         with_before = np.concatenate([before, hashed])
         self.ids.append(ids)
         self.contexts.append(np.stack([with_before[1:-1], with_before[:-2]], 1))
@@ -201,7 +202,7 @@ class Model:
         n = CLASSES * WIDTH
         own = (ids >= 0) & (ids < n)
         classes = np.where(own, ids // WIDTH, CLASSES)
-        rows = (hashed & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
+        rows = (hashed[:, :2] & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
         where = np.flatnonzero(own)
         of = classes[where]
         word_rows = (_mixed(hashed[where] + of[:, None].astype(np.uint64), 4) & np.uint64(WORD_ROWS - 1)).astype(np.int64)
@@ -251,7 +252,7 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> W
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         vocabulary, weights = shared.value
-        trainer, stream, any_row = Trainer(vocabulary, weights), Stream(vocabulary.ranks), False
+        trainer, stream, any_row, size = Trainer(vocabulary, weights), Stream(vocabulary.ranks), False, FIRST_STEP
         for batch in batches:
             any_row = any_row or batch.num_rows > 0
             for text in batch.column(0).to_pylist():
@@ -259,8 +260,9 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> W
                 for some in (*words(text), [END]):
                     for at in range(0, len(some), STEP):
                         before = stream.add(some[at : at + STEP], before)
-                        if stream.n >= STEP:
+                        if stream.n >= size:
                             trainer.step(*stream.take())
+                            size = min(STEP, size + FIRST_STEP // 4)  # a short corpus gets many steps
         if stream.n:
             trainer.step(*stream.take())
         if any_row:
@@ -296,9 +298,17 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, weights: Weights) -> W
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent tokens of counts(token, n): a bounded number of bounded tokens."""
+    """The most frequent tokens of counts(token, n), DICTIONARY at most: those with as many occurrences are in it together or not at all.
+
+    The limit comes from a histogram of a few thousand classes, so nothing else is sent to the driver."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    top = counts.orderBy(F.desc("n"), "token").limit(DICTIONARY).collect()
+    steps = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384)  # 1024 is step 1024
+    least, held = None, 0
+    for r in sorted(counts.groupBy(steps.alias("step")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
+        if (held := held + r.tokens) > DICTIONARY:
+            break
+        least = r.least
+    top = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.token)) if least else []
     return Vocabulary({bytes(r.token): i for i, r in enumerate(top)}, np.array([r.n for r in top], np.int64), total[0], total[1])
 
 
@@ -316,7 +326,7 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocab, weights))
     schema = "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<struct<token: binary, n: bigint>>"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,9 +346,12 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataFrame:
                 score[at : at + STEP] += model.log10(ids[at : at + STEP], contexts[at : at + STEP])
             ends = np.cumsum([p[2] for p in pending])
             starts = ends - [p[2] for p in pending]
-            rows = [(row, doc, n, int((ids[a:b] >= 0).sum()), float(base[a:b].sum()), float(score[a:b].sum()), [{"token": t, "n": k} for t, k in rest.items()]) for (row, doc, n, rest), a, b in zip(pending, starts.tolist(), ends.tolist(), strict=True)]
+            rows = [(row, doc, n, int((ids[a:b] >= 0).sum()), float(base[a:b].sum()), float(score[a:b].sum())) for (row, doc, n, _), a, b in zip(pending, starts.tolist(), ends.tolist(), strict=True)]
+            rest = [p[3] for p in pending]
+            each = pa.StructArray.from_arrays([pa.array(chain.from_iterable(rest), pa.binary()), pa.array(chain.from_iterable(r.values() for r in rest), pa.int64())], ["token", "n"])
+            listed = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rest)], dtype=np.int32), each)
             pending.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)), listed], names)
 
         for batch in batches:
             for piece in slices(batch):
@@ -347,9 +360,9 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataFrame:
                     for some in (*words(text), [END]):
                         before = stream.add(some, before)
                         ids = stream.ids[-1]
-                        rest = _keyed(Counter(some[i] for i in np.flatnonzero(ids < 0).tolist()))
+                        rest = _keyed(Counter(map(some.__getitem__, np.flatnonzero(ids < 0).tolist())))
                         pending.append((row, doc, len(some), rest))
-                        if stream.n >= 4 * STEP:
+                        if stream.n >= STEP:
                             yield told()
         if pending:
             yield told()

@@ -55,8 +55,7 @@ def test_base_scores(spark, monkeypatch, dictionary):
     want = sorted(base(rows)[2], key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
-    if dictionary > 2000:
-        assert [g[6] for g in got] == pytest.approx([g[5] for g in got], rel=1e-5)
+    assert [g[6] for g in got] == pytest.approx([g[5] for g in got], rel=1e-5)
 
 
 def trained(spark, rows):
@@ -84,7 +83,7 @@ def test_probabilities_sum_to_one_and_scores_are_theirs(spark):
 
     def distribution(first, second):
         f = lm.histories(np.array([[first, second]], np.int64))[0]
-        classes = softmax(class_bias + sum(weights.of_class[int(x) % lm.CLASS_ROWS] for x in f))
+        classes = softmax(class_bias + sum(weights.of_class[int(x) % lm.CLASS_ROWS] for x in f[:2]))
         of = {}
         for c in range(lm.CLASSES):
             at = [int(lm._mixed(np.array([x]) + np.uint64(c), 4)[0]) % lm.WORD_ROWS for x in f]
@@ -111,7 +110,7 @@ def test_probabilities_sum_to_one_and_scores_are_theirs(spark):
 def test_learns_what_the_base_cannot(spark):
     rows = made(3, 900)
     got = [r for r in lm.report(spark.createDataFrame(rows, SCHEMA)).collect() if r.held_out and r.n_tokens > 5]
-    assert len(got) > 30 and sum(r.score for r in got) > 0.93 * sum(r.base_score for r in got)
+    assert len(got) > 30 and sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
 
 
 def test_no_rows_nothing_to_learn_and_other_columns(spark):
