@@ -182,26 +182,6 @@ def unique_bindings(spark, d):
     return audit.unique_bindings(rows.withColumnRenamed("record_id", "candidate_id").withColumn("places", F.reverse("places")), rows)
 
 
-_NOTES = "notes as (select o_orderkey as record_id, 'order ' || o_orderkey || chr(10) || case when o_orderkey % 5 = 0 then 'typed_facts_v1: {broken' else 'typed_facts_v1: {\"subject\":\"c' || o_custkey || '\",\"relation\":\"made\",\"object\":\"o' || o_orderkey || '\"}' end || chr(10) || 'end' as text from orders)"
-
-
-@query(f"with {_NOTES} select record_id, position(chr(10) in text)::int as start, (length(text) - 4)::int as \"end\", json_extract_string(j, '$.subject') as subject, 'made' as relation, json_extract_string(j, '$.object') as object from (select *, substring(split_part(text, chr(10), 2), 17) as j from notes where record_id % 5 <> 0)")
-def typed_facts(spark, d):
-    o = A.read(spark, d, "orders")
-    key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
-    fact = F.when(F.col("o_orderkey") % 5 == 0, F.lit("typed_facts_v1: {broken")).otherwise(F.concat(F.lit('typed_facts_v1: {"subject":"c'), who, F.lit('","relation":"made","object":"o'), key, F.lit('"}')))
-    return audit.typed_facts(o.select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("order "), key, F.lit("\n"), fact, F.lit("\nend")).alias("text")))
-
-
-@query("select s_suppkey as query_id, case when s_suppkey % 6 = 0 then null when s_suppkey % 6 = 1 then 'shout' else 'narrow' end as action, case s_suppkey % 6 when 0 then 'not_an_action' when 1 then 'unknown_action' when 2 then 'span_outside' when 3 then 'surface_differs' end as reason from supplier")
-def judged_actions(spark, d):
-    k, name = F.col("s_suppkey") % 6, F.col("s_name")
-    action, end = F.when(k == 1, "shout").otherwise("narrow"), F.when(k == 2, 999).otherwise(4)
-    surface = F.when(k == 3, F.lit("????")).otherwise(F.substring(name, 1, 4))
-    body = F.when(k == 0, F.lit("[1")).otherwise(F.to_json(F.struct(action.alias("action"), F.lit(0).alias("start"), end.alias("end"), surface.alias("surface"))))
-    return audit.judged_actions(A.read(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), name.alias("text"), body.alias("body")))
-
-
 @query("select event_id, case when event_id % 3 = 0 then null else epoch(date_trunc('second', ts))::bigint end as seconds from events")
 def utc_times(spark, d):
     written = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "+02:00").when(F.col("event_id") % 3 == 1, "Z").otherwise("+00:00"))

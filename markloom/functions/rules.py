@@ -33,3 +33,17 @@ QUESTION_WORD = r"(?is)\b(?:what|how|where|which)\b.*"
 ASKS_KINDS = r"(?i)几类|哪.*类|哪些类型|\b(?:classes|categories|types|kinds)\b"
 LISTS_KINDS = r"\b(?:include|includes|comprise|comprises|consist|types|classes|categories)\b[^.]{0,250}(?:,[^.]{0,80}){3}"
 ASKS_DEFINITION = r"(?i)具体.*(?:哪|什么)|\b(?:define|definition|what.*(?:descriptor|difference|parameter))\b"
+
+# Fixed values. Characters beside a span: categories and signs that go on a token, brackets; what else goes on a word or a compact identifier.
+GOES_ON_KINDS = ("Cf", "Pc", "Sm", "Pd")
+GOES_ON = "+-−⁺⁻₊₋^•·/*"
+OPENING, CLOSING = "([{", ")]}"
+WORD_JOINERS = "_‌‍"
+COMPACT_KINDS = ("Sm", "Pd")
+COMPACT = "+-*./·()[]⁺⁻₊₋‐‑‒–—−"
+
+# Fixed values. Names: script signs and what they stand for, dashes, British spellings, and names that end in a charge.
+SCRIPT_SIGNS = ("⁺⁻₀₁₂₃₄₅₆₇₈₉₊₋", "+-0123456789+-")
+DASHES = "‐‑‒–—−"
+SPELLINGS = {"centre": "center", "ionisation": "ionization", "polarisation": "polarization", "electrolyser": "electrolyzer"}
+CHARGED = r"^[^ ]+ [0-9⁰¹²³⁴⁵⁶⁷⁸⁹]*[+-]$"

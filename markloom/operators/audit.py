@@ -139,30 +139,6 @@ def unique_bindings(candidates: DataFrame, records: DataFrame) -> DataFrame:
     return met.groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("record_id").alias("record_id")).where("n = 1").select("candidate_id", "record_id")
 
 
-#: Fixed value: what a line of typed facts begins with.
-FACT_LINE = "typed_facts_v1: "
-
-
-def typed_facts(texts: DataFrame) -> DataFrame:
-    """(record_id, start, end, subject, relation, object): lines `typed_facts_v1: {json}` with their place; others and broken ones are passed over."""
-    lines = F.split("text", "\n")
-    places = F.transform(lines, lambda x, i: F.struct(F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda s, y: s + F.length(y) + 1).alias("start"), x.alias("line")))
-    found = F.filter(places, lambda p: p["line"].startswith(FACT_LINE))
-    rows = texts.select("record_id", F.explode(found).alias("p")).select("record_id", "p.start", "p.line")
-    body = F.from_json(F.substring("line", len(FACT_LINE) + 1, 1 << 20), "subject string, relation string, object string")
-    good = F.col("f.subject").isNotNull() & F.col("f.relation").isNotNull() & F.col("f.object").isNotNull()
-    return rows.withColumn("f", body).where(good).select("record_id", "start", (F.col("start") + F.length("line")).alias("end"), "f.subject", "f.relation", "f.object")
-
-
-def judged_actions(actions: DataFrame) -> DataFrame:
-    """actions(query_id, text, body): strict JSON with start, end and surface, where the surface must be what the text has there."""
-    a = F.from_json("body", "action string, start int, end int, surface string")
-    rows = actions.withColumn("a", a)
-    there = F.expr("substring(text, a.start + 1, a.end - a.start)")
-    reason = F.when(F.col("a.surface").isNull() | F.col("a.action").isNull(), "not_an_action").when(~F.col("a.action").isin("replace", "narrow", "stop"), "unknown_action").when((F.col("a.start") < 0) | (F.col("a.end") <= F.col("a.start")) | (F.col("a.end") > F.length("text")), "span_outside").when(there != F.col("a.surface"), "surface_differs")
-    return rows.select("query_id", "a.action", reason.alias("reason"))
-
-
 def utc_time(text: Column) -> Column:
     """A time in UTC, written as such; null for any other form or zone."""
     return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?(Z|\+00:00)$"), F.to_timestamp(F.regexp_replace(text, r"(Z|\+00:00)$", "Z")))

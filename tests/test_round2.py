@@ -88,8 +88,6 @@ def test_audit_of_nothing_and_of_nulls(spark):
     support = edges.select("scope", "a", "b")
     assert audit.graph_violations(edges, edges, support).count() == 0
     assert [r.kind for r in audit.graph_violations(edges, edges.limit(0), support).collect()] == ["missing"]
-    facts = audit.typed_facts(spark.createDataFrame([(1, None), (2, ""), (3, 'typed_facts_v1: {"subject":"a","relation":"b","object":"c"}\ntyped_facts_v1: {}')], "record_id int, text string")).collect()
-    assert [(f.record_id, f.start, f.subject) for f in facts] == [(3, 0, "a")]
     times = spark.createDataFrame([("2020-01-01T00:00:00Z",), ("2020-01-01 00:00:00",), ("2020-01-01T00:00:00.5+00:00",), (None,)], "t string").select(audit.utc_time(F.col("t")).alias("t")).collect()
     assert [t.t is None for t in times] == [False, True, False, True]
 
