@@ -11,8 +11,9 @@ and brings together only texts that are little else. Any order is exact; no cand
 
 Equal texts count as one (by XXH64; one in 2^64 pairs of unlike texts would be taken for equal). A large group
 doesn't become all its pairs: each set of a bucket is first compared with the bucket's smallest; then only pairs
-that these links leave in different components are. Sets that share mostly boilerplate and aren't similar do become
-pairs.
+that these links leave in different components are. A bucket that still has over `CROWD` sets isn't paired: similar sets
+share a second shingle, after the first one in the order and among their first n - ceil(4n/5) + 2, so its members meet again by both.
+Only sets that share two early shingles with many others and aren't similar do become pairs.
 
 Sets are never written for all texts. A text keeps a bit map of four to eight bits for each shingle, in which every
 shingle turns over one bit: two maps differ in no more bits than their sets in shingles, so a pair whose maps differ
@@ -29,25 +30,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, discard, give_back, map_rows, recorded, slices
+from .common import blocks, bounded, components, cut, discard, give_back, map_rows, recorded, slices
 
 WIDTH, SEED, COUNTERS, BLOCK = 5, 42, 1 << 17, 1 << 15
 #: A task remembers so many texts, to pass over copies; of more it hands copies on, which changes nothing but the time.
 SEEN = 1 << 20
+#: A bucket of more sets in several components is parted by a second shingle.
+CROWD = 64
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ALIKE = "5L * least({0}, {1}) >= 4L * greatest({0}, {1})"
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The hashes of a text's shingles, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    joined = b" ".join(words)
-    starts = [0]
-    for w in words:
-        starts.append(starts[-1] + len(w) + 1)
-    tail = starts[width:] if len(words) >= width else [len(joined) + 1]
-    hash_of = xxhash.xxh64_intdigest
-    return np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, tail, strict=False)], np.uint64)
+    hash_of, out, words = xxhash.xxh64_intdigest, [], []
+    for block in blocks((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
+        words = words[-(width - 1) :] + block.split()
+        joined, starts = b" ".join(words), [0]
+        for w in words:
+            starts.append(starts[-1] + len(w) + 1)
+        out.append(np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:], strict=False)], np.uint64))
+    found = np.concatenate(out)
+    return found if len(found) else np.array([hash_of(b" ".join(words), SEED)], np.uint64)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -177,6 +181,36 @@ def similar(texts: DataFrame, hinted) -> DataFrame:
     rooted = members.select("s", "node").distinct().join(roots, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy(F.col("s").alias("s1")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s1")
     left = cut(rooted.join(mixed, F.col("s") == F.col("s1"), "left_semi").join(nodes.select("node", "n"), "node"), "near-mixed")
-    other = left.select(F.col("s").alias("s1"), F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("root_b"))
-    across = left.join(other, (F.col("s") == F.col("s1")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b"))).where(_ALIKE.format("n", "k"))
-    return found.union(_verified(across.select(F.col("node").alias("a"), "b"), texts, nodes))
+    crowded = left.groupBy(F.col("s").alias("s1")).agg(F.count("*").alias("members")).where(F.col("members") > CROWD).select("s1")
+    crowded = small(cut(crowded, "near-crowded"))
+    calm = left.join(crowded, F.col("s") == F.col("s1"), "left_anti")
+    met_by = left.join(crowded, F.col("s") == F.col("s1"), "left_semi").groupBy(F.col("node").alias("of")).agg(F.collect_list("s").alias("first"))
+    seconds = _second_shingles(texts.join(met_by, F.col("node") == F.col("of")).select("node", "text", "first"), met).distinct()
+    twice = cut(seconds.join(left.select("node", "root", "n").distinct(), "node").select("s", "node", "root", "n"), "near-second")
+    return found.union(_verified(across(calm).union(across(twice)), texts, nodes))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(s, node, root, n) that share s, may be similar by size, and are of different components."""
+    other = members.select(F.col("s").alias("s1"), F.col("node").alias("b"), F.col("n").alias("k"), F.col("root").alias("root_b"))
+    met = members.join(other, (F.col("s") == F.col("s1")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    return met.where(_ALIKE.format("n", "k")).select(F.col("node").alias("a"), "b")
+
+
+def _second_shingles(texts: DataFrame, met: np.ndarray) -> DataFrame:
+    """texts(node, text, first) as (node, s): each of the first shingles with each later one of the set's prefix for two, as one hash.
+
+    A set of one shingle, similar only to its equals, has the shingle itself."""
+
+    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, keys = [], []
+        for node, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = shingles(text)
+            order = found[np.lexsort((found, met[found & (COUNTERS - 1)]))[: len(found) - -(-4 * len(found) // 5) + 2]]
+            for x in first:
+                later = order[np.flatnonzero(order == x)[0] + 1 :] if len(found) > 1 else order
+                keys.append((later * np.int64(0x5851F42D4C957F2D)) ^ np.int64(x))
+                nodes.append(np.full(len(later), node, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (nodes, keys)], ["node", "s"])
+
+    return map_rows(bounded(texts), use, "node bigint, s bigint")

@@ -73,7 +73,7 @@ KINDS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\d|\.\d)",
     "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": r"(?<![\d-])(?:\d{4}[ -]\d{6}[ -]\d{5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})(?![\d-])",
-    "name": rf"{_NO_LETTER}{_TITLES}(?:(?:\p{{Lu}}\.|{_TOKEN}) ){{0,2}}{_FAMILY}",
+    "name": rf"{_NO_LETTER}{_TITLES}(?:(?:\p{{Lu}}\.|{_TOKEN}) ){{0,5}}{_FAMILY}",
 }
 #: Inside a word of small letters only a secret's word can begin, so that most places are passed over by one test.
 PATTERN = f"(?:{KINDS['secret']})|(?<![a-z](?=[a-z]))(?:{'|'.join(f'(?:{p})' for k, p in KINDS.items() if k != 'secret')})"
@@ -190,9 +190,15 @@ def _formatted() -> Column:
 
 
 def _keys(df: DataFrame, key: str) -> DataFrame:
-    """(of_kind, k): a key for each kind, derived from the secret one. In plans this is a scan of existing rows, without values."""
-    kinds = [*KINDS, "given", "family", "initial"]
-    return df.sparkSession.createDataFrame([(x, hmac.new(key.encode(), x.encode(), hashlib.sha256).hexdigest()) for x in kinds], "of_kind string, k string")
+    """(of_kind, k): a key for each kind, derived from the secret one; rows of the JVM, which plans show without values."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    rows = jvm.java.util.ArrayList()
+    for kind in [*KINDS, "given", "family", "initial"]:
+        cells = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 2)
+        cells[0], cells[1] = kind, hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+        rows.add(jvm.org.apache.spark.sql.RowFactory.create(cells))
+    schema = jvm.org.apache.spark.sql.types.StructType.fromDDL("of_kind string, k string")
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, schema), spark)
 
 
 def surrogates(mentions: DataFrame, key: str) -> DataFrame:

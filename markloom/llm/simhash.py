@@ -222,11 +222,11 @@ def deduplicate(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     held = cut(rows.groupBy("id", "node").agg(F.count("*").alias("copies")).join(roots, "node", "left").select("id", "node", "copies", F.coalesce("root", "node").alias("root")), "near-held")
     first = held.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("o"))
     judged = cut(held.join(first, "root").select(F.col("id").alias("of_id"), F.col("node").alias("of_node"), "copies", (F.col("id").eqNullSafe(F.col("o.id")) & (F.col("node") == F.col("o.node"))).alias("stays")), "near-judged")
-    own = F.col("doc_id").cast("bigint").eqNullSafe(F.col("of_id")) & (F.xxhash64(text) == F.col("of_node"))
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    own = F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("of_id")) & (F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))) == F.col("of_node"))
     repeated = judged.where("stays and copies > 1").select("of_id", "of_node")
-    once = docs.join(near_duplicates.small(judged.where("not stays or copies > 1").select("of_id", "of_node")), own, "left_anti")
+    once = row.join(near_duplicates.small(judged.where("not stays or copies > 1").select("of_id", "of_node")), own, "left_anti")
     if repeated.isEmpty():
-        return once
-    row = docs.join(repeated, own).select("of_id", "of_node", F.struct(*docs.columns).alias("row"))
-    least = row.groupBy("of_id", "of_node").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return once.unionByName(least.select("row.*"))
+        return once.select("row.*")
+    least = row.join(repeated, own).groupBy("of_id", "of_node").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.select("row.*").unionByName(least.select("row.*"))

@@ -92,3 +92,34 @@ def test_bit_maps_bound_the_difference():
         a, b = N.shingles(" ".join(x)), N.shingles(" ".join(y))
         apart = N.apart(N.bit_map(a), N.bit_map(b))
         assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and N.apart(N.bit_map(a), N.bit_map(a)) == 0
+
+
+def test_a_crowded_shingle_makes_few_pairs(spark, monkeypatch):
+    """One common passage of five words in 1,500 unlike texts, some of them with a near copy: no pairs of all, no link lost."""
+    r = random.Random(21)
+    rows = []
+    for i in range(1500):
+        words = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        words[10:15] = ["one", "common", "run", "of", "words"]
+        rows.append((2 * i, " ".join(words)))
+        if i % 50 == 0:
+            rows.append((2 * i + 1, " ".join(words[:-1])))
+    met, counted = N.across, []
+
+    def across(members):
+        pairs = met(members)
+        counted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(N, "across", across)
+    monkeypatch.setattr(N, "COUNTERS", 1 << 2)  # an order that keeps no boilerplate out of prefixes
+    stays = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert stays == {d for d, _ in rows if d % 2 == 0} and sum(counted) < 4 * len(rows)
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(1, "a b c d e f g", 5, 6), (2, "A b c d e f g", 7, 8), (3, "x " * 50, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of_id int, of_node int")
+    assert sorted(map(tuple, simhash.deduplicate(df).collect())) == [rows[0], rows[2]]
+    words = [f"w{i % 977}" for i in range(400_000)]
+    assert set(N.shingles(" ".join(words)).tolist()) == set(N.shingles(" ".join(words[: 977 + 8])).tolist())

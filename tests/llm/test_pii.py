@@ -58,6 +58,13 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame(rows()[:3], SCHEMA)
     plan = pii.report(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    for made in (pii.report(df, "k"), pii._keys(df, "k")):  # a list's rows would come from a Python worker, which only the lineage shows
+        assert "Python" not in made._jdf.queryExecution().toRdd().toDebugString().replace("PythonAccumulator", "")
+
+
+def test_many_given_names(spark):
+    text = pii.report(spark.createDataFrame([(1, "Mr Johann Sebastian Karl Bach wrote. Bach said.")], "doc_id long, text string"), "k").head().text
+    assert not re.search("Johann|Sebastian|Karl|Bach", text) and text.startswith("Mr ") and " wrote. " in text
 
 
 def test_key_is_in_no_plan(spark):
