@@ -16,6 +16,10 @@ KINDS = [
 ]
 OTHER_KIND, OTHER_FACTOR = "body_or_title", 1.0
 
+# Fixed values. Normal forms: a word broken over lines, which is joined, and dashes, which part words.
+BROKEN_WORD = r"(?<=[A-Za-z])[-‐]\s*\n\s*(?=[a-z])"
+DASH_RUN = r"[-‐‑‒–—]+"
+
 # Fixed values. Lines: captions, starts of numbered entries, signs of an entry (two are needed), and words of a sentence.
 CAPTION = r"(?i)^\s*(?:Fig(?:ure)?\.?|Scheme|Table)\s*\d+\b|^\s*[图表]\s*\d+"
 ENTRY_START = r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*(?:(?:[A-Z]\.\s*){1,4}[A-Z][a-z]|[A-Z][a-z]+,)"
