@@ -1,11 +1,12 @@
-"""Queries over phrases, aliases, typed facts and actions, with their DuckDB twins; catalog.py imports this module."""
+"""Queries over phrases, aliases, typed facts, actions and the edges of rounds, with their DuckDB twins; catalog.py imports this module."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from markloom.catalog import query
-from markloom.operators import phrases, structured
+from markloom.catalog import _KIND, query
+from markloom.functions import rules
+from markloom.operators import feedback, graph, phrases, structured
 from markloom.sources import adapters as A
 
 # Classes of characters, as DuckDB's patterns have them.
@@ -122,3 +123,31 @@ def judged_actions(spark, d):
     for n, (old, new, _) in enumerate(_CHANGES):
         body = F.when(F.col("query_id") % 20 == n, F.replace(good, F.lit(old), F.lit(new))).otherwise(body)
     return structured.judged_actions(c.withColumn("body", body)).drop("identity")
+
+
+#: A source is a round; its chunks of documents with a good label are frozen in it.
+_ROUNDS = f"""{A.CHUNKS},\n{A.MARKS},
+sel as (select record_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as toks, ({_KIND}) <> '{rules.OTHER_KIND}' or regexp_matches(text, '(?im){rules.REFERENCE_HEADING}') as unfit from chunks semi join (select doc_id from labels where quality = 1) g using (doc_id)),
+sup as (select x.scope, c.source_id as round, x.record_id, x.mark as a, y.mark as b from rm x join rm y on x.scope = y.scope and x.record_id = y.record_id and x.mark < y.mark join chunks c on c.record_id = x.record_id),
+j as (select sup.*, case when s.record_id is null then 'not_frozen_in_round' when unfit then 'bibliography_or_metadata' when not (list_contains(toks, a) and list_contains(toks, b)) then 'endpoint_absent' end as reason from sup left join sel s on s.record_id = sup.record_id),
+q as (select scope, round, a, b, count(*) as support, count(*) filter (reason is null) as bindings, count(*) filter (reason = 'not_frozen_in_round') as unresolved, list(distinct reason) filter (reason is not null) as met from j group by scope, round, a, b)"""
+
+
+def _qualified(spark, d):
+    marks = A.record_marks(spark, d)
+    chunks = A.chunks(spark, d).select("record_id", F.col("source_id").alias("round"), "doc_id", "text")
+    support = graph.pair_evidence(marks).join(chunks.select("record_id", "round"), "record_id")
+    good = A.read(spark, d, "labels").where("quality = 1").select("doc_id")
+    frozen = chunks.join(good, "doc_id", "left_semi").join(marks.groupBy("scope", "record_id").agg(F.collect_set("mark").alias("marks")), "record_id")  # eight marks at most
+    return feedback.qualified_edges(feedback.judged_support(support, frozen))
+
+
+@query(f"with {_ROUNDS} select scope, round, a, b, support, bindings, unresolved, bindings > 0 as qualified, array_to_string(list_sort(list_concat(coalesce(met, []), case when bindings = 0 then ['no_qualified_support'] else [] end)), ',') as reasons from q")
+def qualified_edges(spark, d):
+    return _qualified(spark, d)
+
+
+@query(f"with {_ROUNDS} select scope, a, b, count(*) as rounds, min(round) as first_round, sum(bindings)::bigint as bindings from q where bindings > 0 group by scope, a, b")
+def union_graph(spark, d):
+    """The graph that all rounds' qualified edges make."""
+    return feedback.union_graph(_qualified(spark, d))

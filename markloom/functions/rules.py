@@ -51,3 +51,6 @@ SCRIPT_SIGNS = ("⁺⁻₀₁₂₃₄₅₆₇₈₉₊₋", "+-0123456789+-")
 DASHES = "‐‑‒–—−"
 SPELLINGS = {"centre": "center", "ionisation": "ionization", "polarisation": "polarization", "electrolyser": "electrolyzer"}
 CHARGED = r"^[^ ]+ [0-9⁰¹²³⁴⁵⁶⁷⁸⁹]*[+-]$"
+
+# Fixed value. The heading of a bibliography, on a line of its own.
+REFERENCE_HEADING = r"^\s*(?:references|bibliography|literature cited|参考文献)\s*:?\s*$"
