@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from markloom.operators import ranges
+
 ROUND_LIMIT = 5
 WATERMARK = 0.7
 
@@ -37,11 +39,11 @@ def bot_gate(messages: DataFrame, limit: int = ROUND_LIMIT) -> DataFrame:
     A repeated message id is a duplicate; people always pass and reset their scope; a bot has `limit` rounds
     between two people's messages."""
     first = W.partitionBy("message_id").orderBy("scope", "seq")
-    w = W.partitionBy("scope").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     seen = messages.withColumn("copy", F.row_number().over(first))
-    counted = seen.withColumn("epoch", F.sum(F.when(~F.col("author_is_bot") & (F.col("copy") == 1), 1).otherwise(0)).over(w))
-    rounds = F.sum(F.when(F.col("author_is_bot") & (F.col("copy") == 1), 1).otherwise(0)).over(W.partitionBy("scope", "epoch", "author_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    judged = counted.withColumn("round", F.when(F.col("author_is_bot"), rounds))
+    counts = lambda own: F.when(own & (F.col("copy") == 1), 1).otherwise(0)
+    epochs = ranges.running(seen, ["scope"], ["seq", "message_id"], epoch=counts(~F.col("author_is_bot")))
+    counted = ranges.running(epochs, ["scope", "epoch", "author_id"], ["seq", "message_id"], rounds=counts(F.col("author_is_bot")))
+    judged = counted.withColumn("round", F.when(F.col("author_is_bot"), F.col("rounds")))
     reason = F.when(F.col("copy") > 1, "duplicate").when(F.col("author_is_bot") & (F.col("round") > limit), "round_limit")
     return judged.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).select("scope", "seq", "message_id", "author_id", "author_is_bot", "round", "reason", "allowed")
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from markloom.functions.text import lazy_decay
+from markloom.operators import ranges
 
 ETA, DECAY = 1.0, 0.99
 
@@ -21,7 +21,7 @@ ETA, DECAY = 1.0, 0.99
 def numbered_events(events: DataFrame) -> DataFrame:
     """events(scope, event_id, observed_at) with their number in the scope; a repeated event counts once."""
     once = events.dropDuplicates(["scope", "event_id"])
-    return once.withColumn("number", F.row_number().over(W.partitionBy("scope").orderBy("observed_at", "event_id")))
+    return ranges.running(once, ["scope"], ["observed_at", "event_id"], number=F.lit(1))
 
 
 def fold(seed: float | None, numbers: list[int], last: int) -> float:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
+from markloom.operators import ranges
+
 RETENTION_SECONDS = 86_400
 ZERO = "0" * 64
 
@@ -26,21 +28,19 @@ def record_hash(sequence: int, timestamp: str, event: str, fields: str, previous
 
 
 def chained(rows: DataFrame, log: str = "log_id") -> DataFrame:
-    """rows(log_id, sequence, timestamp, event, fields) with previous_hash and hash: a fold over each log.
+    """rows(log_id, sequence, timestamp, event, fields) with previous_hash and hash.
 
-    A log is what one writer appended; logs are independent, and a log's rows must be folded in order."""
+    A log is what one writer appended; logs are independent. A log's rows are folded in order, each hash carried to the
+    next row, so a task holds a batch and one hash, however long a log is."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, previous, out = pdf.sort_values("sequence"), ZERO, []
-        for r in pdf.itertuples(index=False):
-            digest = record_hash(r.sequence, r.timestamp, r.event, r.fields, previous)
-            out.append((previous, digest))
-            previous = digest
-        pdf["previous_hash"], pdf["hash"] = zip(*out, strict=True)
-        return pdf
+    def step(previous: str | None, r: dict) -> tuple[str, list[tuple]]:
+        previous = previous or ZERO
+        digest = record_hash(r["sequence"], r["timestamp"], r["event"], r["fields"], previous)
+        return digest, [(r[log], r["sequence"], r["timestamp"], r["event"], r["fields"], previous, digest)]
 
     schema = f"{log} string, sequence long, timestamp string, event string, fields string, previous_hash string, hash string"
-    return rows.select(F.col(log).cast("string"), F.col("sequence").cast("long"), "timestamp", "event", "fields").groupBy(log).applyInPandas(fold, schema)
+    own = rows.select(F.col(log).cast("string"), F.col("sequence").cast("long"), "timestamp", "event", "fields")
+    return ranges.carried(own, [log], ["sequence"], step, schema)
 
 
 @F.pandas_udf(StringType())

@@ -48,13 +48,16 @@ def pair_context(marks: DataFrame) -> DataFrame:
     return pairs(marks).select("scope", "a", "b", F.explode(F.array_except("m", F.array("a", "b"))).alias("mark")).distinct()
 
 
-def npmi_edges(marks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs of positive NPMI: (scope, a, b, co_count, weight), rounded to 4 places after the test."""
-    f = mark_frequency(marks)
+def weighed(support: DataFrame, f: DataFrame, n: DataFrame) -> DataFrame:
+    """Pairs of positive NPMI with their weight, rounded to 4 places after the test; support's other columns stay."""
     fa, fb = f.select("scope", F.col("mark").alias("a"), F.col("frequency").alias("fa")), f.select("scope", F.col("mark").alias("b"), F.col("frequency").alias("fb"))
-    n = counts
-    scored = pair_support(marks).join(fa, ["scope", "a"]).join(fb, ["scope", "b"]).join(n, "scope").withColumn("raw", T.npmi(F.col("co_count"), F.col("fa"), F.col("fb"), F.col("n")))
-    return scored.where("raw > 0").select("scope", "a", "b", "co_count", F.round("raw", 4).alias("weight"))
+    scored = support.join(fa, ["scope", "a"]).join(fb, ["scope", "b"]).join(n, "scope").withColumn("raw", T.npmi(F.col("co_count"), F.col("fa"), F.col("fb"), F.col("n")))
+    return scored.where("raw > 0").withColumn("weight", F.round("raw", 4)).drop("raw", "fa", "fb", "n")
+
+
+def npmi_edges(marks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs of positive NPMI: (scope, a, b, co_count, weight)."""
+    return weighed(pair_support(marks), mark_frequency(marks), counts).select("scope", "a", "b", "co_count", "weight")
 
 
 def scope_meta(records: DataFrame, marks: DataFrame, edges: DataFrame) -> DataFrame:
