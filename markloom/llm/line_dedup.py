@@ -1,10 +1,13 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line's normal form is its words with A-Z lower-cased, joined by single spaces. A line with a word goes if an
-earlier line of the corpus has the same normal form, or differs from it by one unit inserted, deleted or replaced:
-a word in lines of `NEAR_WORDS` words or more; in others, as in scripts without spaces, a code point if there are
-`NEAR_CHARS` of them or more (lines of the two sorts aren't compared with each other; shorter ones only go as
-equals). Earlier means a smaller doc_id (nulls last), then the text's hash, then the line's number; lines are judged
+earlier line of the corpus has the same normal form or is near it. Two lines are near if
+* one word inserted, deleted or replaced makes one of the other, and the longer has `NEAR_WORDS` words or more, so
+  that a word is an eighth of it at most, or
+* one code point inserted, deleted or replaced makes one of the other, the longer has `NEAR_CHARS` of them or more, and the
+  shorter has fewer than `NEAR_WORDS` words, as lines of scripts without spaces have.
+Both are rules on pairs, whichever line is the earlier one; no size of a line keeps it from being compared with a line that it
+is near. Earlier means a smaller doc_id (nulls last), then the text's hash, then the line's number; lines are judged
 on the input.
 
 Two lines at one edit at most have an equal deletion variant: the same position left out of both
@@ -51,28 +54,42 @@ def _long(data: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
 
 
-def units(words: list[bytes]) -> list[bytes] | str | None:
-    """What a line is compared by: its words, or its code points; None if only its equals count."""
-    if len(words) >= NEAR_WORDS:
-        return words
-    joined = b" ".join(words).decode("utf-8", "surrogatepass")
-    return joined if len(joined) >= NEAR_CHARS else None
+def forms(words: list[bytes]) -> list[tuple[list[bytes] | str, bool]]:
+    """What a line is compared by, its words and its code points as far as a pair may have them, and whether only as the shorter one."""
+    out: list[tuple[list[bytes] | str, bool]] = []
+    if len(words) >= NEAR_WORDS - 1:
+        out.append((words, len(words) < NEAR_WORDS))
+    if len(words) <= NEAR_WORDS:
+        joined = b" ".join(words).decode("utf-8", "surrogatepass")
+        if len(joined) >= NEAR_CHARS - 1:
+            out.append((joined, len(joined) < NEAR_CHARS))
+    return out
 
 
-def half_keys(line: list[bytes] | str) -> list[int]:
+def near(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether two lines of these words are near; of one group of equal variants all lines are, see `_near`."""
+    if max(len(a), len(b)) >= NEAR_WORDS and within_one(a, b):
+        return True
+    if min(len(a), len(b)) >= NEAR_WORDS:
+        return False
+    x, y = (b" ".join(w).decode("utf-8", "surrogatepass") for w in (a, b))
+    return max(len(x), len(y)) >= NEAR_CHARS and within_one(x, y)
+
+
+def half_keys(line: list[bytes] | str, shorter: bool = False) -> list[int]:
     """One of these is shared by any two lines within one edit: halves of the line as the longer and the shorter one."""
     n, out = len(line), set()
     data = (lambda x: x.encode("utf-8", "surrogatepass")) if isinstance(line, str) else b" ".join
     kind = 1 << 40 if isinstance(line, str) else 0
-    for m in (n, n - 1):
+    for m in (n,) if shorter else (n, n - 1):
         left, right = m // 2, m - m // 2
         out.add(_long(data(line[:left]), kind + 2 * left))
         out.add(_long(data(line[n - right :]), kind + 2 * right + 1))
     return sorted(out)
 
 
-def variants(line: list[bytes] | str) -> list[tuple[int, int]]:
-    """(hash, position left out; -1: none) of a line's deletion variants."""
+def variants(line: list[bytes] | str, shorter: bool = False) -> list[tuple[int, int]]:
+    """(hash, position left out; -1: none) of a line's deletion variants; only the whole of one that is only the shorter."""
     chars = isinstance(line, str)
     values = [ord(c) + 1 for c in line] if chars else [xxhash.xxh64_intdigest(w) % _PRIME for w in line]
     n, before = len(values), [0]
@@ -82,6 +99,8 @@ def variants(line: list[bytes] | str) -> list[tuple[int, int]]:
         _POWERS.append(_POWERS[-1] * _BASE % _PRIME)
     whole = before[n]
     out = [(2 * whole + chars, -1)]
+    if shorter:
+        return out
     return out + [(2 * (((before[p] - before[p + 1]) * _POWERS[n - p - 1] + whole) % _PRIME) + chars, p) for p in range(n)]
 
 
@@ -106,7 +125,8 @@ def _lines(docs: DataFrame) -> DataFrame:
                 words = normal(line)
                 if words:
                     h = xxhash.xxh3_128_digest(b" ".join(words))
-                    rows.append((d, t, i, h, int.from_bytes(h[:8], "big", signed=True), half_keys(u) if (u := units(words)) else None))
+                    keys = [k for form in forms(words) for k in half_keys(*form)]
+                    rows.append((d, t, i, h, int.from_bytes(h[:8], "big", signed=True), keys or None))
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["d", "t", "line", "h", "id", "keys"])
@@ -123,7 +143,7 @@ def _variants(docs: DataFrame) -> DataFrame:
             lines = text.encode("utf-8", "surrogatepass").split(b"\n")
             for w in wanted:
                 words = normal(lines[w["line"]])
-                rows += [(w["id"], v, p, b" ".join(words) if p < 0 else None) for v, p in variants(units(words))]
+                rows += [(w["id"], v, p, b" ".join(words) if p < 0 else None) for form in forms(words) for v, p in variants(*form)]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["id", "v", "p", "words"])
@@ -143,7 +163,9 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
 def _near(lines: DataFrame, first: DataFrame, keyed: DataFrame) -> DataFrame:
     """(id) of the distinct lines with an earlier line at one edit; first: (h, id, place).
 
-    id: half of a line's 128-bit hash; lines that share one are told apart when pairs are verified."""
+    id: half of a line's 128-bit hash; lines that share one are told apart when pairs are verified.
+    The lines of a group of equal variants have as many units each; if they are words, NEAR_WORDS or more, and if code points, two
+    lines of NEAR_WORDS words differ within a word, and are near by words. So a group's earliest line speaks for all of them."""
     keys = lines.where("keys is not null").select("id", F.explode("keys").alias("key"))
     shared = cut(_several(keys, "key"), "line-halves")
     candidates = keys.join(shared, F.col("key") == F.col("shared")).select(F.col("id").alias("ci")).distinct()
@@ -164,8 +186,8 @@ def _near(lines: DataFrame, first: DataFrame, keyed: DataFrame) -> DataFrame:
     sides = pairs.join(words.withColumnRenamed("words", "a"), F.col("id") == F.col("of")).drop("of").join(words.withColumnRenamed("words", "b"), F.col("partner") == F.col("of")).select("id", "a", "b")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sides = [[units(x.split(b" ")) for x in batch.column(k).to_pylist()] for k in (1, 2)]
-        good = [type(a) is type(b) and within_one(a, b) for a, b in zip(*sides, strict=True)]
+        sides = [[x.split(b" ") for x in batch.column(k).to_pylist()] for k in (1, 2)]
+        good = [near(a, b) for a, b in zip(*sides, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], ["id"])
 
     return map_rows(sides, verify, "id bigint").distinct()

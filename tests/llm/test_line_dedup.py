@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from markloom.llm import line_dedup as L
 
@@ -53,19 +54,21 @@ def corpus():
 
 def brute(rows):
     place = lambda i, t: (i is None, i or 0)
-    lines = [(place(i, t), k, L.normal(x.encode())) for i, t, _ in rows if t is not None for k, x in enumerate(t.split("\n"))]
+    words = lambda x: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", x)]
+    lines = [(place(i, t), k, words(x)) for i, t, _ in rows if t is not None for k, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if x[2]]
+
     def near(v, w):
-        if min(len(v), len(w)) >= 8:
-            return abs(len(v) - len(w)) <= 1 and slow_distance(v, w) <= 1
-        a, b = b" ".join(v).decode(), b" ".join(w).decode()
-        return max(len(v), len(w)) < 8 and min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= 1 and slow_distance(a, b) <= 1
+        if abs(len(v) - len(w)) <= 1 and (len(v) >= 8 or len(w) >= 8) and slow_distance(v, w) <= 1:
+            return True
+        a, b = " ".join(v), " ".join(w)
+        return (len(v) < 8 or len(w) < 8) and (len(a) >= 16 or len(b) >= 16) and abs(len(a) - len(b)) <= 1 and slow_distance(a, b) <= 1
 
     out = []
     for i, t, _ in rows:
         kept = []
         for k, x in enumerate((t or "").split("\n")):
-            w = L.normal(x.encode())
+            w = words(x)
             mine = (place(i, t), k)
             gone = w and any((p, j) < mine and (v == w or near(v, w)) for p, j, v in lines)
             kept += [] if gone else [x]
@@ -74,6 +77,28 @@ def brute(rows):
     return out
 
 
+def test_no_gap_between_sizes(spark):
+    """Lines on both sides of every bound meet, in either order."""
+    eight, seven = "one two three four five six seven eight", "one two three four five six seven"
+    pairs = [(eight, seven), (eight, "one two three four five six seveneight"), (eight, "one two three four five six seven,eight"), ("fifteen letters", "fifteen lettersx"), ("没有空格的一句话正好有十五个字", "没有空格的一句话正好有十五个字呀"), (eight + " nine", eight)]
+    apart = [(seven, "one two three four five six other"), ("fourteen chars", "fourteen charsx"), ("fifteen letters", "fifteen letterz"), (eight, "one two three four five seven"), (eight + " nine", "one two three four five six seveneight nine")]
+    for both, n in ((pairs, 1), (apart, 0)):
+        for a, b in both:
+            for first, second in ((a, b), (b, a)):
+                rows = [(1, first, None), (2, second, None)]
+                assert [r[2] for r in brute(rows)] == [0, n]
+    for turned in (False, True):
+        for k, (a, b) in enumerate([*pairs, *apart]):
+            rows = [(1, b if turned else a, None), (2, a if turned else b, None)]
+            w = [L.normal(t.encode()) for _, t, _ in rows]
+            assert L.near(*w) == (k < len(pairs))
+            shared = [{key for form in L.forms(x) for key in L.half_keys(*form)} for x in w]
+            assert not L.near(*w) or shared[0] & shared[1]
+    every = [(10 * k + j, t, None) for k, p in enumerate([*pairs, *apart]) for j, t in enumerate(p)]
+    df = spark.createDataFrame(every, SCHEMA).repartition(3)
+    assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept_sha256) for r in L.report(df).collect()) == sorted(brute(every))
+
+
 def test_equals_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
