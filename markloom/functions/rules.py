@@ -28,9 +28,10 @@ LINE_NOTICE, LINE_NOTICE_LENGTH = r"(?i)all rights reserved|copyright|©|www\.|p
 SENTENCE = r"(?i)\b(?:is|are|was|were|has|have|can|will|measured|shows|requires|increases)\b"
 WRAPPED_LINES = 4
 
-# Fixed values. Questions: a quoted publication, what ends the question proper, its question word.
+# Fixed values. Questions: a quoted publication, what ends the question proper, what speaks of a publication named before, its question word.
 QUOTED_PUBLICATION = r"(?i)[“\"].*?[”\"]\s*\([^)]*(?:\b\d{4}\b|doi)[^)]*\)"
 INSTRUCTION = r"(?i)(?:Please\s|Use this round|Base the answer|No ingest|Do not ingest)"
+FOLLOW_UP = r"(?i)这套|这篇|上述|\b(?:this|that)\s+(?:paper|study|analysis)\b"
 QUESTION_WORD = r"(?is)\b(?:what|how|where|which)\b.*"
 
 # Fixed values. Answers: a question for kinds and a text that lists them; a question for a definition.

@@ -121,14 +121,30 @@ def retrieve(queries: DataFrame, records: DataFrame, marks: DataFrame, edges: Da
     return references(ranked, records)
 
 
+def normal_matches(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """(query_id, scope, mark, key): known(scope, mark) whose normal form `key` stands in a query's normal form at ASCII word borders.
+
+    queries(query_id, scope, text) are normalised already. A key that begins with word characters has its first run as a whole run of
+    the query; others meet by their first three characters (or all, if fewer)."""
+    keyed = known.select("scope", "mark").distinct().withColumn("key", T.normalize(F.col("mark"))).where("key <> ''").withColumn("run", F.regexp_extract("key", "^[A-Za-z0-9_]+", 0))
+    runs = queries.select("query_id", "scope", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("run"))
+    by_run = runs.join(keyed.where("run <> ''"), ["scope", "run"]).where((F.col("key") == F.col("run")) | T.contains_normal(F.col("key"), F.col("text")))
+    other = keyed.where("run = ''").withColumn("gram", F.substring("key", 1, 3))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(*[F.substring("text", i, F.lit(k)) for k in (1, 2, 3)]))))
+    cut = queries.join(other.select("scope").distinct(), "scope", "left_semi").select("query_id", "scope", "text", F.explode(grams).alias("gram"))
+    by_gram = cut.join(other, ["scope", "gram"]).where(T.contains_normal(F.col("key"), F.col("text")))
+    found = [x.select("query_id", "scope", "mark", "key") for x in (by_run, by_gram)]
+    return found[0].unionByName(found[1]).distinct()
+
+
 def concept_hits(queries: DataFrame, marks: DataFrame, counts: DataFrame, limit: int = MAX_CONCEPT_MARKS) -> DataFrame:
     """Marks that the normalised query contains, weighted by rarity; those outside its question count 0.15."""
     q = queries.select("query_id", "scope", T.normalize(F.col("text")).alias("text"), T.normalize(T.question_focus(F.col("text"))).alias("focus"))
     f = marks.groupBy("scope", "mark").agg(F.count("*").alias("frequency")).join(counts, "scope")
-    found = literal_matches(q.select("query_id", "scope", "text"), f).join(f, ["scope", "mark"]).join(q.select("query_id", "focus"), "query_id")
-    weighted = found.withColumn("weight", F.round(T.idf(F.col("n"), F.col("frequency")) * F.when(T.contains_normal(F.col("mark"), F.col("focus")), 1.0).otherwise(0.15), 6))
+    found = normal_matches(q.select("query_id", "scope", "text"), f).join(f, ["scope", "mark"]).join(q.select("query_id", "focus"), "query_id")
+    weighted = found.withColumn("weight", F.round(T.idf(F.col("n"), F.col("frequency")) * F.when(T.contains_normal(F.col("key"), F.col("focus")), 1.0).otherwise(0.15), 6))
     order = W.partitionBy("query_id").orderBy(F.col("weight").desc(), "mark")
-    return weighted.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit).select("query_id", "scope", "mark", "weight", "hit_rank")
+    return weighted.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit).select("query_id", "scope", "mark", "key", "weight", "hit_rank")
 
 
 def record_texts(records: DataFrame, marks: DataFrame) -> DataFrame:
@@ -174,7 +190,9 @@ def source_hints(records: DataFrame, width: int = 4000) -> DataFrame:
 
 
 def retrieve_concept(queries: DataFrame, texts: DataFrame, marks: DataFrame, edges: DataFrame, context: DataFrame, counts: DataFrame) -> DataFrame:
-    """Retrieval ranked by relevance: marks and topic words by rarity, the text's kind, answer form and source; texts: record_texts."""
+    """Retrieval ranked by relevance: marks and topic words by rarity, the text's kind, answer form and source; texts: record_texts.
+
+    queries may have a column `context`, the question before: a follow-up takes from it the publication that it doesn't name itself."""
     hits = saved(concept_hits(queries, marks, counts), "concept-hits")
     matches = saved(literal_matches(queries, marks.select("scope", "mark").distinct()).unionByName(hits.select("query_id", "scope", "mark")).distinct(), "concept-matches")
     expanded = expanded_marks(expansion_candidates(hits, matches, edges, context))
@@ -184,17 +202,18 @@ def retrieve_concept(queries: DataFrame, texts: DataFrame, marks: DataFrame, edg
     graph = ranked_candidates(hits, expanded, direct_evidence(hits, matches, edges, context), marks)
     both = graph.select("query_id", "scope", "record_id", "score").unionByName(pool.select("query_id", "scope", "record_id", F.lit(0.0).alias("score"))).groupBy("query_id", "scope", "record_id").agg(F.max("score").alias("score"))
     # a query's marks (64 at most) and topic words (32) come as arrays, and meet the record's own arrays in its row
-    of_hits = hits.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.length("mark")).alias("l"), "mark")).alias("query_hits"))
+    of_hits = hits.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.length("key")).alias("l"), "mark", "key")).alias("query_hits"))
     of_terms = weights.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("query_terms"))
-    asked = queries.select("query_id", T.source_identity(F.col("text")).alias("names"), T.question_focus(F.col("text")).alias("focus")).join(of_hits, "query_id", "left").join(of_terms, "query_id", "left")
+    names = T.followed_identity(F.col("text"), F.col("context")) if "context" in queries.columns else T.source_identity(F.col("text"))
+    asked = queries.select("query_id", names.alias("names"), T.question_focus(F.col("text")).alias("focus")).join(of_hits, "query_id", "left").join(of_terms, "query_id", "left")
     rows = both.join(texts.select("scope", "record_id", "source_id", F.col("text").alias("body_text"), "normal", "terms", "marks", "kind"), ["scope", "record_id"]).join(asked, "query_id").join(source_hints(texts).withColumn("normal_hint", T.normalize(F.col("hint"))), ["scope", "source_id"], "left")
     rows = rows.withColumn("own", F.expr("filter(coalesce(query_hits, array()), h -> array_contains(coalesce(marks, array()), h.mark))")).withColumn("found", F.expr("filter(coalesce(query_terms, array()), t -> array_contains(terms, t.term))"))
     rows = rows.withColumn("body", F.expr("aggregate(found, 0D, (s, t) -> s + t.weight)")).withColumn("body_terms", F.expr("transform(found, t -> t.term)"))
     # overlapping phrases count once: the heavier and longer mark stays
-    chosen = F.expr("aggregate(array_sort(own), cast(array() as array<struct<w:double,l:int,mark:string>>), (a, x) -> if(exists(a, y -> rlike(y.mark, concat('(?<![A-Za-z0-9_])\\Q', x.mark, '\\E(?![A-Za-z0-9_])'))), a, array_append(a, x)))")
+    chosen = F.expr("aggregate(array_sort(own), cast(array() as array<struct<w:double,l:int,mark:string,key:string>>), (a, x) -> if(exists(a, y -> rlike(y.key, concat('(?<![A-Za-z0-9_])\\\\Q', x.key, '\\\\E(?![A-Za-z0-9_])'))), a, array_append(a, x)))")
     rows = rows.withColumn("chosen", chosen)
     # a mark that is one run of word characters stands in a text at word borders if it is one of the text's terms
-    stands = "if(rlike(x.mark, '^[a-z0-9_]+$'), array_contains(terms, x.mark), rlike(normal, concat('(?<![A-Za-z0-9_])\\Q', x.mark, '\\E(?![A-Za-z0-9_])')))"
+    stands = "if(rlike(x.key, '^[a-z0-9_]+$'), array_contains(terms, x.key), rlike(normal, concat('(?<![A-Za-z0-9_])\\\\Q', x.key, '\\\\E(?![A-Za-z0-9_])')))"
     mark_part = F.round(F.expr(f"0.25 * aggregate(chosen, 0D, (s, x) -> s - x.w * if({stands}, 1D, 0.15D))"), 6)
     hint = F.lower(F.coalesce("hint", F.lit("")))
     prior = F.when(F.expr("exists(names.dois, d -> contains(lower(coalesce(hint, '')), d)) or exists(names.titles, t -> contains(coalesce(normal_hint, ''), t))"), 12.0).when(F.expr("exists(names.years, y -> contains(coalesce(hint, ''), y))"), 4.0).otherwise(0.0)
