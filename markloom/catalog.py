@@ -648,4 +648,4 @@ def chain_violations(spark, d):
     return eventlog.chain_violations(rows.withColumn("event", F.when((F.col("sequence") == 3) & (F.col("log_id").cast("int") % 10 == 0), "forged").otherwise(F.col("event"))))
 
 
-from markloom import catalog_audit, catalog_evidence, catalog_phrases, catalog_upkeep  # noqa: E402, F401  register their queries here
+from markloom import catalog_audit, catalog_evidence, catalog_meetings, catalog_phrases, catalog_upkeep  # noqa: E402, F401  register their queries here
