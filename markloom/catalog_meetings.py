@@ -1,4 +1,4 @@
-"""Typed paths over orders and their lines with planted faults, and their DuckDB twin; catalog.py imports this module.
+"""Typed paths over orders and their lines, and grounded questions on parts, with planted faults and their DuckDB twins; catalog.py imports this module.
 
 The inputs are plain expressions that both engines read alike; how issues are found is written twice."""
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from markloom.catalog import query
-from markloom.operators import meetings
+from markloom.operators import grounding, meetings
 from markloom.sources import adapters as A
 
 _ASK = {
@@ -93,3 +93,24 @@ def path_meetings(spark, d):
     given = lines.select(F.col("l_orderkey").alias("path_id"), F.lit(1).alias("side"), F.col("l_linenumber").alias("position"), *made(_GIVE), F.array(F.concat(F.lit("l"), F.col("l_linenumber").cast("string"))).alias("evidence"))
     needs = orders.withColumn("k", F.explode(F.sequence(F.lit(1), F.expr(_COPIES)))).select(F.col("o_orderkey").alias("path_id"), *made(_NEED))
     return meetings.path_meetings(orders.select(F.col("o_orderkey").alias("path_id")), asked.unionByName(given), needs)
+
+
+#: A question on each part, of eight kinds; names of parts are concepts, some of them double, some without members.
+_QUESTION = "case p_partkey % 8 when 0 then 'Which fine: ' || fine || ' is a ' || name || '?' when 1 then 'Is a ' || name || ' of ' || coarse || 's?' when 2 then 'Is a ' || name || ' of ' || coarse || ' or fine: ' || fine || '?' when 3 then 'Is a ' || name || ' of ' || coarse || ' or of ' || fine || '?' when 4 then 'Which ' || name || ' is it?' when 5 then 'Which fine: ' || fine || ' is it?' when 6 then 'Which fine: none is a ' || name || '?' else ' ' end"
+
+
+@query(f"""with c as (select p_name as name, min(p_partkey) as cid, min('kind_' || lower(p_type)) as fine, min(p_brand) as coarse from part group by all),
+q as (select p_partkey as question_id, p_partkey % 8 as k, c.*, {_QUESTION} as text from part join c on name = p_name),
+j as (select *, case when k = 7 then 'invalid_question' when k = 5 then 'no_grounded_vocabulary' when cid % 7 = 0 then 'ambiguous_name' when cid % 5 = 0 then 'missing_original_member' when k = 3 then 'ambiguous_target' when k in (4, 6) then 'no_explicit_target' end as reason from q),
+t as (select *, case k when 1 then coarse else fine end as label, case k when 1 then coarse || 's' else 'fine: ' || fine end as words from j)
+select question_id, reason, case when reason is null then name || '@' || (strpos(text, name) - 1) || '=' || cid end as terms, case when reason is null then case k when 1 then 'coarse ' else 'fine ' end || label || '@' || (strpos(text, words) - 1) || '-' || (strpos(text, words) - 1 + length(words)) end as targets from t""")
+def question_grounding(spark, d):
+    parts = A.read(spark, d, "part")
+    named = parts.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("cid"), F.min(F.concat(F.lit("kind_"), F.lower("p_type"))).alias("fine"), F.min("p_brand").alias("coarse"))
+    double = named.where("cid % 7 = 0").withColumn("cid", -1 - F.col("cid"))
+    of = parts.join(named, F.col("name") == F.col("p_name"))
+    asked = of.select(F.col("p_partkey").alias("question_id"), F.expr(_QUESTION).alias("text"))
+    found = grounding.question_grounding(asked, named.unionByName(double), of.where("cid % 5 <> 0").select(F.col("p_partkey").alias("member"), "cid"))
+    terms = F.transform("terms", lambda t: F.concat(t["term"], F.lit("@"), t["start"].cast("string"), F.lit("="), t["cid"].cast("string")))
+    targets = F.transform("targets", lambda t: F.concat(t["level"], F.lit(" "), t["target"], F.lit("@"), t["start"].cast("string"), F.lit("-"), t["end"].cast("string")))
+    return found.select("question_id", "reason", F.array_join(terms, "|").alias("terms"), F.array_join(targets, "|").alias("targets"))

@@ -61,3 +61,6 @@ SOURCE_LINE = r"(?im)^\s*(?:来源|出处|source|publication)\s*[:：].*$"
 DOI = r"10\.\d{4,9}/[A-Za-z0-9.()_;/:-]+"
 ACRONYM = r"([A-Za-z][A-Za-z -]{3,80})\s*\(([A-Z]{2,8})\)"
 QUESTION_WORDS = "according explain describe discuss give show state stated identify determine values value numerical numeric equation equations formula formulas expression expressions range ranges magnitude correction corrections relationship relationships relation relations premise premises alternative alternatives pathway pathways mechanism mechanisms assumption assumptions steps step respectively based result results article study studies authors author figure figures fig table tables supporting support citation citations quote quotes page pages relevant relevantly text answer question reference references details detailed following follow first second third additionally also whether can could should would must need needs derive derived derivation derivations account accounts accounted consider considered".split()
+
+# Fixed value. What qualifies a label in a question.
+QUALIFIER = r"(?iU)(?<!\w)(?:fine|coarse)(?!\w)(?:\s*:\s*|\s+)"
