@@ -451,6 +451,19 @@ def meet_rank(spark, d):
     return analytics.top_targets(both, nodes, targets, seeds.unionByName(other))
 
 
+@query()
+def rank_cases(spark, d):
+    """A case for each supplier: one or two sizes, for even numbers a brand as second group; brands are wanted, in five ways."""
+    edges, _ = _part_graph(spark, d)
+    s = A.read(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"))
+    sizes = F.array(F.concat(F.lit("p"), (F.col("case_id") % 40).cast("string")), F.concat(F.lit("p"), (F.col("case_id") * 7 % 40).cast("string")))
+    known = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    seeds = lambda df: df.join(known, "node", "left_semi").select("case_id", "node")
+    brand = s.where("case_id % 2 = 0").select("case_id", F.concat(F.lit("Brand#"), (F.col("case_id") % 25 + 1).cast("string")).alias("node"))
+    nodes = edges.groupBy(F.col("b").alias("node")).agg(F.sum("weight").cast("bigint").alias("frequency")).withColumn("label", F.lit("brand"))
+    return analytics.rank_cases(nodes, edges, seeds(s.select("case_id", F.explode(sizes).alias("node"))), seeds(brand), s.withColumn("label", F.lit("brand")))
+
+
 @query()
 def expv(spark, d):
     edges, seeds = _part_graph(spark, d)

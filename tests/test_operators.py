@@ -206,6 +206,39 @@ def test_walk_and_exponentials(spark):
     assert np.allclose([{r.node: r.score for r in graphs.collect()}[n] for n in nodes], exact, atol=1e-9)
 
 
+def test_ranked_cases_in_five_ways(spark):
+    nodes, m = matrix()
+    label = {n: "xy"[i % 2] for i, n in enumerate(nodes)}
+    often = {n: i * 5 % 7 for i, n in enumerate(nodes)}
+    cases = {1: ("a", "e", "y"), 2: ("ab", "", "x"), 3: ("c", "cd", "y"), 4: ("", "a", "x")}
+    group = lambda k: frame(spark, [(c, n) for c, v in cases.items() for n in v[k] * 2], "case_id int, node string")
+    got = analytics.rank_cases(frame(spark, [(n, label[n], often[n]) for n in nodes], "node string, label string, frequency long"), frame(spark, EDGES, "a string, b string, weight double"), group(0), group(1), frame(spark, [(c, v[2]) for c, v in cases.items()], "case_id int, label string"))
+
+    def spread(seeds, alpha):
+        p0 = np.array([(n in seeds) / len(set(seeds)) for n in nodes])
+        p = total = p0
+        for k in range(1, 41 if alpha else 21):
+            p = 0.5 * p0 + 0.5 * (p / m.sum(0)) @ m if alpha else p @ m / m.sum(0).max() / k
+            total = total + p
+        return p if alpha else total
+
+    want = []
+    for c, (a, b, wanted) in cases.items():
+        if not a:
+            continue
+        scores = {"frequency": [float(often[n]) for n in nodes]}
+        for name, alpha in (("alpha", True), ("beta", False)):
+            scores[f"{name}_nomeet"] = spread(a + b, alpha)
+            if b:
+                scores[f"{name}_meet"] = np.sqrt(spread(a, alpha) * spread(b, alpha))
+        for variant, s in scores.items():
+            pool = sorted((-round(float(x), 9), n) for n, x in zip(nodes, s, strict=True) if label[n] == wanted and n not in a + b)[:10]
+            want += [(c, variant, i, n, -x) for i, (x, n) in enumerate(pool, 1)]
+    found = sorted(tuple(r) for r in got.collect())
+    assert [r[:4] for r in found] == [r[:4] for r in sorted(want)] and len(want) > 20
+    assert np.allclose([r[4] for r in found], [r[4] for r in sorted(want)], atol=2e-9)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_simple_paths_by_brute_force(spark, seed):
     rng = random.Random(seed)
