@@ -190,9 +190,8 @@ def utc_times(spark, d):
 
 @query(f"{_TEXT} select c.scope, count(*) as all_occurrences, count(distinct c.mark) as all_marks, count(a.mark) as active_occurrences, count(distinct a.mark) as active_marks from rm c left join am a on a.scope = c.scope and a.record_id = c.record_id and a.mark = c.mark group by c.scope")
 def occurrence_counts(spark, d):
-    every, live = A.record_marks(spark, d), A.active_marks(spark, d)
-    count = lambda df, p: df.groupBy("scope", "mark").agg(F.count("*").alias("n")).groupBy("scope").agg(F.sum("n").alias(f"{p}_occurrences"), F.count("*").alias(f"{p}_marks"))
-    return count(every, "all").join(count(live, "active"), "scope", "left").na.fill(0)
+    by_mark = A.told_marks(spark, d).groupBy("scope", "mark").agg(F.count("*").alias("n"), F.count_if("active").alias("live"))
+    return by_mark.groupBy("scope").agg(F.sum("n").alias("all_occurrences"), F.count("*").alias("all_marks"), F.sum("live").alias("active_occurrences"), F.count_if(F.col("live") > 0).alias("active_marks"))
 
 
 @query("select p_partkey, case when length(p_name) <= 12 then p_name end as short_name, p_type like 'STANDARD%' or p_brand like 'Brand#1%' as wanted from part")
