@@ -3,6 +3,10 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from markloom.operators import audit, graph
+from markloom.operators import retrieval as R
 from markloom.sources import adapters as A
 
 
@@ -32,3 +36,53 @@ def test_marks_are_cut_from_a_chunks_own_array(spark, tmp_path):
     assert sorted(tuple(r)[:3] for r in A.active_marks(spark, d).collect()) == sorted(x for x in want if x[1] != 100_000)
     assert {(r.scope, r.record_id, r.mark) for r in A.told_marks(spark, d).where("not active").collect()} == {x for x in want if x[1] == 100_000}
     assert "Window" not in plan(found)  # before, each word of each chunk was a row of a join and of a window
+
+
+def random_marks(spark, seed, records=60, words="abcdefgh"):
+    import random
+
+    r = random.Random(seed)
+    rows = [("s", i, m, "x") for i in range(records) for m in r.sample(words, r.randint(1, 4))]
+    return spark.createDataFrame(rows, "scope string, record_id long, mark string, source_id string")
+
+
+def test_context_of_asked_pairs_is_that_of_all(spark):
+    marks = random_marks(spark, 1)
+    by_record = defaultdict(set)
+    for r in marks.collect():
+        by_record[r.record_id].add(r.mark)
+    want = {("s", a, b, c) for m in by_record.values() for a in m for b in m for c in m if a < b and c not in (a, b)}
+    found = graph.pair_context(marks)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "array_except" not in plan(found)  # before, a record's three marks were compared as three rows
+    asked = spark.createDataFrame([("s", "a", "b"), ("s", "c", "h"), ("s", "a", "zz")], "scope string, a string, b string")
+    assert sorted(map(tuple, graph.context_of(marks, asked).collect())) == sorted(x for x in want if x[1:3] in (("a", "b"), ("c", "h")))
+
+
+def test_edges_group_pairs_once(spark):
+    marks = random_marks(spark, 2)
+    counts = marks.groupBy("scope").agg(F.countDistinct("record_id").alias("n"))
+    found = graph.npmi_edges(marks, counts)
+    old = graph.weighed(graph.pair_support(marks), graph.mark_frequency(marks), counts).select(*found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, old.collect())) != []
+    assert plan(found).count("Join") == 2  # frequencies meet marks; scopes' counts meet pairs
+    hits = spark.createDataFrame([("s", "a"), ("s", "c")], "scope string, mark string")
+    near, every = graph.nearest_edges(found, hits, 2), graph.directed_edges(found).where("neighbor_order <= 2 and mark in ('a', 'c')")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def test_first_references_need_no_other_candidates(spark):
+    for seed in range(3):
+        marks = random_marks(spark, seed, 120)
+        queries = spark.createDataFrame([(i, "s", t) for i, t in enumerate(["a b c d", "e f", "h a", "g", "zz"])], "query_id long, scope string, text string")
+        edges = graph.directed_edges(graph.npmi_edges(marks, spark.createDataFrame([("s", 120)], "scope string, n long")))
+        matches = R.literal_matches(queries, marks.select("scope", "mark").distinct())
+        hits = R.direct_hits(matches)
+        context = lambda asked, marks=marks: graph.context_of(marks, asked)
+        found = R.expansion_candidates(hits, matches, edges, context)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.expansion_candidates(hits, matches, edges, graph.pair_context(marks)).select(*found.columns).collect()))
+        args = (hits, R.expanded_marks(found), R.direct_evidence(hits, matches, edges, context), marks)
+        first = lambda df: sorted(map(tuple, audit.decided(df).where("selected").collect()))
+        some, every = R.best_candidates(*args), R.ranked_candidates(*args)
+        assert first(some) == first(every) != []
+        assert some.count() < every.count()
