@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from markloom.operators import audit, graph
+from markloom.operators import analytics, audit, graph
 from markloom.operators import retrieval as R
 from markloom.sources import adapters as A
 
@@ -86,3 +86,18 @@ def test_first_references_need_no_other_candidates(spark):
         some, every = R.best_candidates(*args), R.ranked_candidates(*args)
         assert first(some) == first(every) != []
         assert some.count() < every.count()
+
+
+def test_a_seed_of_many_cases_spreads_once(spark, monkeypatch):
+    edges = spark.createDataFrame([("x", "p", 1.0), ("x", "q", 2.0), ("y", "q", 1.0)], "a string, b string, weight double")
+    nodes = spark.createDataFrame([("p", "t", 1), ("q", "t", 3)], "node string, label string, frequency long")
+    a = spark.createDataFrame([(i, "x") for i in range(9)], "case_id int, node string")
+    b = spark.createDataFrame([(i, "y") for i in range(0, 9, 2)], "case_id int, node string")
+    targets = a.select("case_id", F.lit("t").alias("label"))
+    asked, spread = [], analytics.walk_with_restart
+    monkeypatch.setattr(analytics, "walk_with_restart", lambda e, s: asked.append(s.count()) or spread(e, s))
+    found = analytics.rank_cases(nodes, edges, a, b, targets).where("variant = 'alpha_nomeet'").collect()
+    both = spark.createDataFrame([(0, "x"), (0, "y"), (1, "x")], "case_id int, node string")
+    want = {(r.case_id, r.node): round(r.score, 9) for r in spread(edges, both).collect()}
+    assert {(r.case_id % 2, r.node): r.score for r in found} == {k: v for k, v in want.items() if k[1] in "pq"}
+    assert asked == [2]  # before, 23 groups of 9 cases
