@@ -101,3 +101,26 @@ def test_a_seed_of_many_cases_spreads_once(spark, monkeypatch):
     want = {(r.case_id, r.node): round(r.score, 9) for r in spread(edges, both).collect()}
     assert {(r.case_id % 2, r.node): r.score for r in found} == {k: v for k, v in want.items() if k[1] in "pq"}
     assert asked == [2]  # before, 23 groups of 9 cases
+
+
+def test_pool_by_blocks_of_records_and_queries(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    scopes, terms = {"en": range(300), "de": range(300, 340)}, "abcdefg"
+    index = [(s, i, t) for s, ids in scopes.items() for i in ids for t in r.sample(terms, r.randint(1, 5))]
+    weights = [(q, "en" if q < 25 else "de", t, round(1 + r.random(), 6) if t < "d" else 1.5) for q in range(30) for t in r.sample(terms, 3)]
+    monkeypatch.setattr(R, "QUERIES_A_BLOCK", 7)
+    found = R.lexical_pool(spark.createDataFrame(weights, "query_id long, scope string, term string, weight double"), spark.createDataFrame(index, "scope string, record_id long, term string"), limit=10, block=40)
+    sums = defaultdict(float)
+    own = {(s, i, t) for s, i, t in index}
+    for q, s, t, w in weights:
+        for i in scopes[s]:
+            if (s, i, t) in own:
+                sums[q, s, i] += w
+    want = []
+    for q in range(30):
+        best = sorted(((round(x, 6), i, s) for (k, s, i), x in sums.items() if k == q), reverse=True)[:10]
+        want += [(q, s, i, x, n) for n, (x, i, s) in enumerate(best, 1)]
+    assert sorted(tuple(x) for x in found.select("query_id", "scope", "record_id", "lexical", "lexical_rank").collect()) == sorted(want)
+    assert "sum(weight" not in plan(found)  # before, each record that has a topic word was a row of each query
