@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom.operators import analytics, audit, graph
 from markloom.operators import retrieval as R
+from markloom.plans.batch import TextGraph
 from markloom.sources import adapters as A
 
 
@@ -124,3 +125,10 @@ def test_pool_by_blocks_of_records_and_queries(spark, monkeypatch):
         want += [(q, s, i, x, n) for n, (x, i, s) in enumerate(best, 1)]
     assert sorted(tuple(x) for x in found.select("query_id", "scope", "record_id", "lexical", "lexical_rank").collect()) == sorted(want)
     assert "sum(weight" not in plan(found)  # before, each record that has a topic word was a row of each query
+
+
+def test_terms_need_no_marks(spark, tmp_path):
+    d = tables(spark, tmp_path, [(0, "Alpha beta-gamma alpha", "en", "s", 0), (1, "delta", "de", "s", 0)], [(1, 0, 0)])
+    g = TextGraph(spark, d)
+    assert sorted(map(tuple, g.index.collect())) == [("en", 0, "alpha"), ("en", 0, "beta"), ("en", 0, "gamma")]
+    assert not {"marks", "record_texts"} & set(g.__dict__)  # before, the index came from texts joined with their marks
