@@ -8,6 +8,7 @@ from markloom.catalog import _KIND, query
 from markloom.functions import rules
 from markloom.operators import feedback, graph, phrases, structured
 from markloom.sources import adapters as A
+from markloom.sources.files import saved
 
 # Classes of characters, as DuckDB's patterns have them.
 _ON = r"[\p{L}\p{N}\p{M}\p{Cf}\p{Pc}\p{Sm}\p{Pd}+\-−⁺⁻₊₋^•·/*]"
@@ -52,7 +53,7 @@ v as (select k.name, regexp_replace(regexp_replace(k.name, '^centre$', 'center')
 select v.name, case when s.one <> s.name and s.one in (select value from v) and not (s.one like '%s' and left(s.one, -1) in (select value from v)) then s.one else v.value end as canonical from v join (select distinct * from s) s on s.name = v.value""")
 def alias_canon(spark, d):
     """The marks' canonical aliases, the marks themselves being the corpus."""
-    marks = A.record_marks(spark, d).select(F.col("mark").alias("name")).distinct()
+    marks = saved(A.record_marks(spark, d).select(F.col("mark").alias("name")).distinct(), "names")
     return phrases.alias_canon(marks, marks)
 
 

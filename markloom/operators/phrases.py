@@ -297,10 +297,13 @@ def singular(value: Column) -> Column:
 def alias_canon(names: DataFrame, corpus: DataFrame) -> DataFrame:
     """names(name) with canonical: its lexical form, or the singular of it if corpus(name) has that and the relation isn't a chain.
 
-    The corpus answers by a semi-join for singulars and an anti-join for what their own singulars would be."""
-    known = corpus.select(lexical(F.col("name")).alias("form")).where("form is not null").distinct()
-    rows = names.select("name", lexical(F.col("name")).alias("value"))
-    rows = rows.withColumn("single", singular(F.col("value")))
+    The corpus answers by a semi-join for singulars and an anti-join for what their own singulars would be.
+
+    Forms are written before they are asked for: a filter on them would be worked out below a grouping of names, for each of its rows."""
+    forms = saved(names.select("name", lexical(F.col("name")).alias("value")), "alias-forms")
+    told = forms.select(F.col("value").alias("form")) if corpus is names else saved(corpus.select(lexical(F.col("name")).alias("form")), "corpus-forms")
+    known = told.where("form is not null").distinct()
+    rows = forms.withColumn("single", singular(F.col("value")))
     asked = rows.where("single <> value").select("single").distinct()
     there = asked.join(known, asked.single == known.form, "left_semi")
     shorter = F.when(F.col("single").endswith("s"), F.expr("left(single, length(single) - 1)"))

@@ -43,3 +43,14 @@ def test_plain_phrases_need_no_parts(spark, monkeypatch):
     got = {tuple(r) for r in phrases.phrase_spans(texts, known, limit=340).collect()}
     assert got == {(1, "one", 0, 3), (1, "two", 4, 7), (1, "three", 9, 14), (1, "two, three", 4, 14), (4, "two", 10, 13)}
     assert asked == [1]
+
+
+def test_an_alias_form_is_worked_out_a_name_not_an_occurrence(spark, monkeypatch):
+    """A filter on forms went below the grouping of names."""
+    names = spark.createDataFrame([("models",), ("model",), ("models",), ("gas",)], "name string")
+    kept = []
+    save = phrases.saved
+    monkeypatch.setattr(phrases, "saved", lambda df, label: kept.append(label) or save(df, label))
+    got = sorted(tuple(r) for r in phrases.alias_canon(names, names).collect())
+    assert got == [("gas", "gas"), ("model", "model"), ("models", "model"), ("models", "model")]
+    assert kept == ["alias-forms"]
