@@ -54,3 +54,31 @@ def test_an_alias_form_is_worked_out_a_name_not_an_occurrence(spark, monkeypatch
     got = sorted(tuple(r) for r in phrases.alias_canon(names, names).collect())
     assert got == [("gas", "gas"), ("model", "model"), ("models", "model"), ("models", "model")]
     assert kept == ["alias-forms"]
+
+
+def test_candidates_are_placed_without_a_shuffle_of_them(spark):
+    """The rows and places are those of the grouped form, over several ranges of records; only what stands beside them is shuffled."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from markloom.operators import retrieval as R
+
+    rng = random.Random(5)
+    marks = spark.createDataFrame([(s, i, m) for s in "xy" for i in range(300) for m in sorted({f"m{rng.randrange(12)}" for _ in range(4)})], "scope string, record_id long, mark string")
+    hits, more, pairs = [], [], []
+    for q in range(40):
+        s, own = rng.choice("xy"), rng.sample(range(14), 6)
+        hits += [(q, s, f"m{m}") for m in own[: q % 5]]
+        more += [(q, s, f"m{m}", rng.randrange(1, 4) / 10) for m in own[4 : 4 + q % 3]]
+        pairs += [(q, s, min(f"m{a}", f"m{b}"), max(f"m{a}", f"m{b}"), 0.1) for a, b in [(own[0], own[1])] if q % 5 > 1]
+    hits = spark.createDataFrame(hits, "query_id long, scope string, mark string")
+    more = spark.createDataFrame(more, "query_id long, scope string, mark string, weight double")
+    pairs = spark.createDataFrame(pairs, "query_id long, scope string, a string, b string, weight double")
+    order = W.partitionBy("query_id").orderBy(F.col("direct").desc(), F.col("score").desc(), F.col("record_id").desc())
+    want = R.ranked_candidates(hits, more, pairs, marks)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = R.placed_candidates(hits, more, pairs, marks, block=50)
+    assert rows(got) == rows(want.withColumn("rank", F.row_number().over(order))) and got.count() > 1000
+    assert rows(R.placed_candidates(hits, more, pairs, marks, placed=False)) == rows(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange")
