@@ -28,7 +28,9 @@ _PRINT = ["e1", "e2", "c1", "c2"]
 
 @dataclass(frozen=True)
 class Version:
-    """counts(scope, n), frequency(scope, mark, frequency), beside(scope, a, b, mark, seen), support(scope, a, b, co_count, prints), edges."""
+    """counts(scope, n), frequency(scope, mark, frequency), beside(scope, a, b, c, seen), support(scope, a, b, co_count, prints), edges.
+
+    beside has the marks a < b < c of records, support also pairs that no record shows any more (co_count 0) as long as they have prints."""
 
     counts: DataFrame
     frequency: DataFrame
@@ -46,7 +48,7 @@ def _whole(total: Column, what: str) -> Column:
 
 
 def _hash(column: str, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), column).cast("decimal(20,0)")
+    return F.xxhash64(F.lit(salt), column)
 
 
 def _merged(before: DataFrame | None, delta: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -55,22 +57,34 @@ def _merged(before: DataFrame | None, delta: DataFrame, keys: list[str], count:
     return every.groupBy(*keys).agg(F.sum(count).alias(count)).withColumn(count, _whole(F.col(count), count)).where(F.col(count) > 0)
 
 
+def _pairs(sets: DataFrame) -> DataFrame:
+    """(scope, record_id, a, b, rest, sign): every pair a < b of a record, and its marks after b."""
+    first = sets.select("scope", "record_id", "sign", "m", F.posexplode("m").alias("i", "a")).select("scope", "record_id", "sign", "a", F.expr("slice(m, i + 2, size(m))").alias("after"))
+    return first.select("scope", "record_id", "sign", "a", "after", F.posexplode("after").alias("j", "b")).select("scope", "record_id", "a", "b", F.expr("slice(after, j + 2, size(after))").alias("rest"), "sign")
+
+
 def _beside(before: DataFrame | None, pairs: DataFrame) -> DataFrame:
-    """(scope, a, b, mark, seen, was): the marks beside each pair, in how many records now, and before."""
-    delta = pairs.select(*_PAIR, F.explode(F.array_except("m", F.array("a", "b"))).alias("mark"), F.col("sign").cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("was"))
+    """(scope, a, b, c, seen, was): three marks of a record, in how many records now, and before."""
+    delta = pairs.select(*_PAIR, F.explode("rest").alias("c"), F.col("sign").cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("was"))
     every = delta if before is None else delta.unionByName(before.withColumn("was", F.col("seen")))
-    sums = every.groupBy(*_PAIR, "mark").agg(F.sum("seen").alias("seen"), F.sum("was").alias("was"))
+    sums = every.groupBy(*_PAIR, "c").agg(F.sum("seen").alias("seen"), F.sum("was").alias("was"))
     return sums.withColumn("seen", _whole(F.col("seen"), "context"))
 
 
 def _support(before: DataFrame | None, pairs: DataFrame, beside: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("decimal(20,0)")
-    shown = pairs.select(*_PAIR, F.col("sign").cast("bigint").alias("co_count"), *[(F.col("sign") * _hash("record_id", k)).alias(f"e{k}") for k in (1, 2)], zero.alias("c1"), zero.alias("c2"))
-    turn = (F.col("seen") > 0).cast("int") - (F.col("was") > 0).cast("int")
-    crossed = beside.where(turn != 0).select(*_PAIR, F.lit(0).cast("bigint").alias("co_count"), zero.alias("e1"), zero.alias("e2"), *[(turn * _hash("mark", k)).alias(f"c{k}") for k in (1, 2)])
-    every = shown.unionByName(crossed) if before is None else shown.unionByName(crossed).unionByName(before)
-    sums = every.groupBy(*_PAIR).agg(F.sum("co_count").alias("co_count"), *[F.sum(p).cast("decimal(38,0)").alias(p) for p in _PRINT])
-    return sums.withColumn("co_count", _whole(F.col("co_count"), "support")).where("co_count > 0")
+    zero = F.lit(0).cast("bigint")
+    come = pairs.select(*_PAIR, F.col("sign").cast("bigint").alias("co_count"))
+    if before is None:
+        first = come.groupBy(*_PAIR).agg(F.sum("co_count").alias("co_count")).withColumn("co_count", _whole(F.col("co_count"), "support")).where("co_count > 0")
+        return first.select("*", *[zero.alias(p) for p in _PRINT])
+    shown = pairs.select(*_PAIR, F.col("sign").cast("bigint").alias("co_count"), *[_hash("record_id", k).alias(f"e{k}") for k in (1, 2)], zero.alias("c1"), zero.alias("c2"))
+    turns = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("mark")) for x, y, z in ("abc", "acb", "bca")])
+    crossed = beside.where((F.col("seen") > 0) != (F.col("was") > 0)).select("scope", F.explode(turns).alias("t")).select("scope", "t.a", "t.b", zero.alias("co_count"), zero.alias("e1"), zero.alias("e2"), *[_hash("t.mark", k).alias(f"c{k}") for k in (1, 2)])
+    sums = shown.unionByName(crossed).unionByName(before).groupBy(*_PAIR).agg(F.sum("co_count").alias("co_count"), *[F.bit_xor(p).alias(p) for p in _PRINT])
+    kept = F.col("co_count") > 0
+    for p in _PRINT:
+        kept = kept | (F.col(p) != 0)
+    return sums.withColumn("co_count", _whole(F.col("co_count"), "support")).where(kept)
 
 
 def _edges(before: DataFrame | None, now: DataFrame, at: float) -> DataFrame:
@@ -94,10 +108,10 @@ def advanced(version: Version | None, records: DataFrame, marks: DataFrame, at:
     sign is 1 for what comes and -1 for what goes; a record whose marks change goes with the old and comes with the new ones.
     Without an earlier version it is the full rebuild."""
     v = version
-    pairs = saved(graph.pairs(marks.where("sign = 1")).withColumn("sign", F.lit(1)).unionByName(graph.pairs(marks.where("sign = -1")).withColumn("sign", F.lit(-1))), "delta-pairs")
+    pairs = _pairs(saved(marks.groupBy("scope", "record_id", "sign").agg(F.array_sort(F.collect_set("mark")).alias("m")), "delta-sets"))
     counts = saved(_merged(v and v.counts, records.select("scope", F.col("sign").cast("bigint").alias("n")), ["scope"], "n"), "counts")
     frequency = saved(_merged(v and v.frequency, marks.select("scope", "mark", F.col("sign").cast("bigint").alias("frequency")), ["scope", "mark"], "frequency"), "frequency")
     beside = saved(_beside(v and v.beside, pairs), "beside")
     support = saved(_support(v and v.support, pairs, beside), "support")
-    now = graph.weighed(support, frequency, counts).select(*_PAIR, "co_count", "weight", *_PRINT)
+    now = graph.weighed(support.where("co_count > 0"), frequency, counts).select(*_PAIR, "co_count", "weight", *_PRINT)
     return Version(counts, frequency, beside.where("seen > 0").drop("was"), support, saved(_edges(v and v.edges, now, at), "edges"))

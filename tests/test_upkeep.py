@@ -236,3 +236,28 @@ def test_batches_go_on_where_they_were_cut(spark):
     assert ask(cheap) == plain(blocks, cheap)
     states = maintenance.batch_states(maintenance.admitted(spark.createDataFrame([(*x, None) for x in blocks], schema), caps))
     assert {x.batch_id: x.reason for x in states.collect()}[90] == "unknown_cost"
+
+
+def test_the_first_version_shuffles_no_context_by_pair(spark, monkeypatch):
+    """Three marks of a record were six rows beside its pairs, and each pair was written with all of its record's marks."""
+    kept = {}
+    save = upkeep.saved
+    monkeypatch.setattr(upkeep, "saved", lambda df, label: kept.setdefault(label, save(df, label)))
+    marks = spark.createDataFrame([("s", r, m, 1) for r in range(5) for m in "abcde"], "scope string, record_id long, mark string, sign int")
+    first = upkeep.advanced(None, marks.select("scope", "record_id", "sign").distinct(), marks, 1.0)
+    assert "delta-pairs" not in kept and kept["delta-sets"].count() == 5 and first.beside.count() == 10
+
+
+def test_a_pair_that_is_gone_returns_as_it_was(spark):
+    rows = [("s", r, m, 1) for r, ms in {1: "abx", 2: "abx", 3: "ac", 4: "bd", 5: "e", 6: "f"}.items() for m in ms]
+    marks = spark.createDataFrame(rows, "scope string, record_id long, mark string, sign int")
+    of = lambda df: df.select("scope", "record_id", "sign").distinct()
+    moved = lambda ids, sign: marks.where(F.col("record_id").isin(ids)).withColumn("sign", F.lit(sign))
+    version = upkeep.advanced(None, of(marks), marks, 1.0)
+    told = lambda v: {(e.a, e.b): (e.active, e.last_updated) for e in v.edges.collect()}["a", "b"]
+    gone = upkeep.advanced(version, of(moved([1, 2], -1)), moved([1, 2], -1), 2.0)
+    assert told(gone) == (False, 1.0)
+    again = moved([1, 2], 1)
+    assert told(upkeep.advanced(gone, of(again), again, 3.0)) == (True, 1.0)
+    other = again.withColumn("mark", F.when((F.col("mark") == "x") & (F.col("record_id") == 2), "y").otherwise(F.col("mark")))
+    assert told(upkeep.advanced(gone, of(other), other, 3.0)) == (True, 3.0)
