@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from markloom.catalog import _KIND, query
 from markloom.functions import rules
-from markloom.operators import feedback, graph, phrases, structured
+from markloom.operators import feedback, phrases, structured
 from markloom.sources import adapters as A
 from markloom.sources.files import saved
 
@@ -134,21 +134,21 @@ j as (select sup.*, case when s.record_id is null then 'not_frozen_in_round' whe
 q as (select scope, round, a, b, count(*) as support, count(*) filter (reason is null) as bindings, count(*) filter (reason = 'not_frozen_in_round') as unresolved, list(distinct reason) filter (reason is not null) as met from j group by scope, round, a, b)"""
 
 
-def _qualified(spark, d):
-    marks = A.record_marks(spark, d)
-    chunks = A.chunks(spark, d).select("record_id", F.col("source_id").alias("round"), "doc_id", "text")
-    support = graph.pair_evidence(marks).join(chunks.select("record_id", "round"), "record_id")
+def _judged(spark, d):
+    marks = A.record_marks(spark, d, "source_id")
+    sets = saved(marks.groupBy("scope", "record_id", F.col("source_id").alias("round")).agg(F.collect_set("mark").alias("m")), "round-sets")  # eight marks at most
     good = A.read(spark, d, "labels").where("quality = 1").select("doc_id")
-    frozen = chunks.join(good, "doc_id", "left_semi").join(marks.groupBy("scope", "record_id").agg(F.collect_set("mark").alias("marks")), "record_id")  # eight marks at most
-    return feedback.qualified_edges(feedback.judged_support(support, frozen))
+    texts = A.chunks(spark, d).join(good, "doc_id", "left_semi").select("record_id", "text")
+    return feedback.judged_records(sets, sets.withColumnRenamed("m", "marks").join(texts, "record_id"))
 
 
 @query(f"with {_ROUNDS} select scope, round, a, b, support, bindings, unresolved, bindings > 0 as qualified, array_to_string(list_sort(list_concat(coalesce(met, []), case when bindings = 0 then ['no_qualified_support'] else [] end)), ',') as reasons from q")
 def qualified_edges(spark, d):
-    return _qualified(spark, d)
+    return feedback.qualified_edges(_judged(spark, d))
 
 
 @query(f"with {_ROUNDS} select scope, a, b, count(*) as rounds, min(round) as first_round, sum(bindings)::bigint as bindings from q where bindings > 0 group by scope, a, b")
 def union_graph(spark, d):
     """The graph that all rounds' qualified edges make."""
-    return feedback.union_graph(_qualified(spark, d))
+    bound = _judged(spark, d).where("reason is null")  # the others qualify nothing
+    return feedback.union_graph(feedback.qualified_edges(bound))

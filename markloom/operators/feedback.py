@@ -10,7 +10,7 @@ record leaves its edge unqualified, with the reason.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions import rules
@@ -19,24 +19,44 @@ from markloom.functions import text as T
 NOT_FROZEN, NONE_QUALIFIES = "not_frozen_in_round", "no_qualified_support"
 
 
-def judged_support(support: DataFrame, frozen: DataFrame) -> DataFrame:
-    """support(scope, round, a, b, record_id) with the reason why a record doesn't bear its edge out, null if it does; frozen(scope, round, record_id, marks, text)."""
+REASONS = (NOT_FROZEN, "marks_conflict", "bibliography_or_metadata", "endpoint_absent")
+
+
+def _judged(frozen: DataFrame) -> DataFrame:
+    """frozen without texts: whether a record is unfit, and which of its marks literally stand in its text, in lower case."""
     text = F.coalesce("text", F.lit(""))
     unfit = T.stands(text, f"(?imd){rules.REFERENCE_HEADING}") | (T.metadata_kind(text) != rules.OTHER_KIND)
-    judged = frozen.select("scope", "round", "record_id", "marks", text.alias("text"), unfit.alias("unfit"))
-    met = support.join(judged, ["scope", "round", "record_id"], "left")
-    marked = F.array_contains("marks", F.col("a")) & F.array_contains("marks", F.col("b"))
-    there = T.hit(F.col("a"), F.col("text")) & T.hit(F.col("b"), F.col("text"))
-    reason = F.when(F.col("text").isNull(), NOT_FROZEN).when(~F.coalesce(marked, F.lit(False)), "marks_conflict").when(F.col("unfit"), "bibliography_or_metadata").when(~there, "endpoint_absent")
-    return met.select("scope", "round", "a", "b", "record_id", reason.alias("reason"))
+    return frozen.select("scope", "round", "record_id", "marks", unfit.alias("unfit"), T.standing(F.col("marks"), text).alias("there"))
+
+
+def _reason() -> Column:
+    """Why a record doesn't bear an edge out; `there` is null for one that isn't frozen."""
+    a, b = F.col("a"), F.col("b")
+    marked = F.array_contains("marks", a) & F.array_contains("marks", b)
+    there = F.array_contains("there", F.lower(a)) & F.array_contains("there", F.lower(b))
+    return F.when(F.col("there").isNull(), REASONS[0]).when(~F.coalesce(marked, F.lit(False)), REASONS[1]).when(F.col("unfit"), REASONS[2]).when(~there, REASONS[3])
+
+
+def judged_support(support: DataFrame, frozen: DataFrame) -> DataFrame:
+    """support(scope, round, a, b, record_id) with the reason why a record doesn't bear its edge out, null if it does; frozen(scope, round, record_id, marks, text)."""
+    met = support.join(_judged(frozen), ["scope", "round", "record_id"], "left")
+    return met.select("scope", "round", "a", "b", "record_id", _reason().alias("reason"))
+
+
+def judged_records(sets: DataFrame, frozen: DataFrame) -> DataFrame:
+    """judged_support of every pair a < b of m, for sets(scope, round, record_id, m): a record meets its text's judgement once, then its pairs come."""
+    met = sets.join(_judged(frozen), ["scope", "round", "record_id"], "left")
+    first = met.select("*", F.posexplode(F.array_sort("m")).alias("i", "a")).withColumn("m", F.array_sort("m"))
+    pairs = first.select("scope", "round", "record_id", "marks", "unfit", "there", "a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
+    return pairs.select("scope", "round", "a", "b", "record_id", _reason().alias("reason"))
 
 
 def qualified_edges(judged: DataFrame) -> DataFrame:
     """(scope, round, a, b): how many records support an edge, bear it out, or weren't frozen in the round, and all reasons met."""
-    own = F.collect_set("reason")  # four words at most
-    sums = judged.groupBy("scope", "round", "a", "b").agg(F.count("*").alias("support"), F.count_if(F.col("reason").isNull()).alias("bindings"), F.count_if(F.col("reason") == NOT_FROZEN).alias("unresolved"), own.alias("met"))
-    every = F.when(F.col("bindings") == 0, F.array_append("met", F.lit(NONE_QUALIFIES))).otherwise(F.col("met"))
-    return sums.select("scope", "round", "a", "b", "support", "bindings", "unresolved", (F.col("bindings") > 0).alias("qualified"), F.array_join(F.array_sort(every), ",").alias("reasons"))
+    met = [F.count_if(F.col("reason") == r).alias(f"n{k}") for k, r in enumerate(REASONS)]
+    sums = judged.groupBy("scope", "round", "a", "b").agg(F.count("*").alias("support"), F.count_if(F.col("reason").isNull()).alias("bindings"), *met)
+    reasons = F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, r) for k, r in enumerate(REASONS)], F.when(F.col("bindings") == 0, NONE_QUALIFIES)))
+    return sums.select("scope", "round", "a", "b", "support", "bindings", F.col("n0").alias("unresolved"), (F.col("bindings") > 0).alias("qualified"), F.array_join(F.array_sort(reasons), ",").alias("reasons"))
 
 
 def union_graph(qualified: DataFrame) -> DataFrame:

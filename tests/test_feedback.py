@@ -26,3 +26,21 @@ def test_reasons_and_union(spark):
     assert told["s", 1, "ab", "ef"] == (1, 0, 1, False, "no_qualified_support,not_frozen_in_round")
     assert [tuple(r) for r in feedback.union_graph(edges).collect()] == [("s", "ab", "cd", 2, 1, 2)]
     assert feedback.qualified_edges(judged.limit(0)).count() == 0
+
+
+def test_marks_are_looked_for_once_a_record(spark):
+    """Every pair of a record brought its text along, and both its marks were looked for in it again."""
+    from pyspark.sql import functions as F
+
+    from markloom.functions import text as T
+
+    marks = ["ab", "a.b", "x-y", "K2", "日本", "straße", None, "ſo"]
+    texts = ["AB a.b axb", "x-y x-yz K2", "日本語 STRASSE", "ſo so", "", None]
+    rows = spark.createDataFrame([(i, marks, t) for i, t in enumerate(texts)], "id int, marks array<string>, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    want = {(r.id, r.mark.lower()) for r in rows.select("id", F.explode("marks").alias("mark"), "text").where(T.hit(F.col("mark"), F.col("text"))).collect()}
+    got = {(r.id, m) for r in rows.select("id", T.standing(F.col("marks"), F.col("text")).alias("there")).collect() for m in r.there}
+    assert got == want and len(want) == 7
+    sets = spark.createDataFrame([("s", 1, 1, ["cd", "ab", "ef"]), ("s", 1, 2, ["ab", "cd"])], "scope string, round int, record_id int, m array<string>")
+    frozen = spark.createDataFrame([("s", 1, 1, ["cd", "ab", "ef"], "ab, cd")], "scope string, round int, record_id int, marks array<string>, text string")
+    judged = feedback.judged_records(sets, frozen)
+    assert {(r.a, r.b, r.record_id, r.reason) for r in judged.collect()} == {("ab", "cd", 1, None), ("ab", "ef", 1, "endpoint_absent"), ("cd", "ef", 1, "endpoint_absent"), ("ab", "cd", 2, "not_frozen_in_round")}
