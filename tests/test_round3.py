@@ -82,3 +82,38 @@ def test_candidates_are_placed_without_a_shuffle_of_them(spark):
     assert rows(R.placed_candidates(hits, more, pairs, marks, placed=False)) == rows(want)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange")
+
+
+def _sets(spark):
+    rng = random.Random(3)
+    rows = [(s, i, f"c{rng.randrange(8)}", sorted({f"m{rng.randrange(12)}" for _ in range(4)})) for s in "xy" for i in range(60)]
+    sets = spark.createDataFrame(rows, "scope string, record_id long, source_id string, m array<string>")
+    return sets, sets.selectExpr("scope", "record_id", "explode(m) as mark", "source_id")
+
+
+def test_sources_of_pairs_meet_no_table_of_records(spark):
+    """Pairs met a table of all records, which was broadcast as long as its file was small."""
+    from markloom.operators import diagnostics, graph
+
+    sets, marks = _sets(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = diagnostics.sources_of_pairs(sets)
+    assert rows(got) == rows(diagnostics.pair_sources(graph.pair_evidence(marks), sets)) and got.count() > 50
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_listings_weigh_listed_marks_alone(spark, monkeypatch):
+    """The whole graph was derived for the first nodes, which need no edge, and for edges between these."""
+    from markloom.operators import diagnostics, graph
+
+    _, marks = _sets(spark)
+    counts = graph.record_counts(marks.select("scope", "record_id").distinct())
+    edges, rows = graph.npmi_edges(marks, counts), lambda df: sorted(map(str, df.collect()))
+    nodes = diagnostics.node_listing(marks, edges, 5)
+    assert rows(diagnostics.node_listing(marks, limit=5)) == rows(nodes)
+    want = rows(diagnostics.edge_listing(graph.pair_support(marks), edges, nodes))
+    monkeypatch.setattr(diagnostics, "node_listing", lambda m, limit=5, first=diagnostics.node_listing: first(m, limit=limit))
+    supported = []
+    monkeypatch.setattr(graph, "pair_support", lambda m, first=graph.pair_support: supported.append(m.select("scope", "mark").distinct().count()) or first(m))
+    assert rows(diagnostics.listed_edges(marks, counts)) == want and len(want) > 5
+    assert supported == [10]
