@@ -172,7 +172,11 @@ def concept_violations(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def native_order(ranked: DataFrame, bindings: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, record_id, place): candidates by the best rank of a concept that they are bound to, then by their own rank."""
-    met = ranked.select("query_id", "cid", F.col("rank").alias("cid_rank")).join(bindings.select("cid", "record_id"), "cid").join(candidates.select("query_id", "record_id", "native_rank"), ["query_id", "record_id"])
-    best = met.groupBy("query_id", "record_id").agg(F.min("cid_rank").alias("cid_rank"), F.min("native_rank").alias("native_rank"))
+    # both kinds of rows are grouped by query and record instead of joined: exploded rows look small to Spark, which broadcast them whole
+    void = F.lit(None)
+    bound = ranked.select("query_id", "cid", F.col("rank").alias("cid_rank")).join(bindings.select("cid", "record_id"), "cid").select("query_id", "record_id", "cid_rank", void.cast(dict(candidates.dtypes)["native_rank"]).alias("native_rank"), F.lit(False).alias("own"))
+    own = candidates.select("query_id", "record_id", void.cast(dict(ranked.dtypes)["rank"]).alias("cid_rank"), "native_rank", F.lit(True).alias("own"))
+    rows = bound.unionByName(own).where("query_id is not null and record_id is not null").repartition("query_id")
+    best = rows.groupBy("query_id", "record_id").agg(F.min("cid_rank").alias("cid_rank"), F.min("native_rank").alias("native_rank"), F.bool_or("own").alias("c"), F.bool_or(~F.col("own")).alias("b")).where("b and c")
     order = W.partitionBy("query_id").orderBy("cid_rank", "native_rank", "record_id")
-    return best.select("query_id", "record_id", F.row_number().over(order).alias("place"))
+    return best.select(F.col("query_id").cast(dict(ranked.dtypes)["query_id"]), F.col("record_id").cast(dict(bindings.dtypes)["record_id"]), F.row_number().over(order).alias("place"))

@@ -117,3 +117,15 @@ def test_listings_weigh_listed_marks_alone(spark, monkeypatch):
     monkeypatch.setattr(graph, "pair_support", lambda m, first=graph.pair_support: supported.append(m.select("scope", "mark").distinct().count()) or first(m))
     assert rows(diagnostics.listed_edges(marks, counts)) == want and len(want) > 5
     assert supported == [10]
+
+
+def test_native_order_broadcasts_no_candidates(spark):
+    """Candidates met the bound records by a join, for which Spark broadcast every query's candidates."""
+    from markloom.operators import audit
+
+    ranked = spark.createDataFrame([(1, 7, 2), (1, 8, 1), (2, 7, 1), (None, 7, 1), (3, 9, 1)], "query_id long, cid long, rank int")
+    bindings = spark.createDataFrame([(7, 10), (7, 11), (8, 12), (8, 11)], "cid long, record_id long")
+    candidates = spark.createDataFrame([(1, 10, 1), (1, 11, 3), (1, 12, 2), (1, 13, 4), (2, 11, None), (None, 10, 1), (3, 10, 1)], "query_id long, record_id long, native_rank int")
+    got = audit.native_order(ranked, bindings, candidates)
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 3), (1, 11, 2), (1, 12, 1), (2, 11, 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
