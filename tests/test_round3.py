@@ -129,3 +129,18 @@ def test_native_order_broadcasts_no_candidates(spark):
     got = audit.native_order(ranked, bindings, candidates)
     assert sorted(map(tuple, got.collect())) == [(1, 10, 3), (1, 11, 2), (1, 12, 1), (2, 11, 1)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_identities_are_written_as_bytes(spark, monkeypatch):
+    """A digest of 64 letters went through every shuffle of a bundle's materials."""
+    from markloom.operators import bundles
+
+    kept = {}
+    save = bundles.saved
+    monkeypatch.setattr(bundles, "saved", lambda df, label: kept.setdefault(label, save(df, label)))
+    texts = ", ".join(f"{c} string" for c in bundles._IDENTITY)
+    rows = spark.createDataFrame([(1, r, 0, *[f"{x}"] * 8) for r, x in enumerate("abca")], f"bundle_id long, round long, position int, {texts}")
+    got = bundles.bindings(rows)
+    assert dict(kept["identities"].dtypes)["evidence_uid"] == "binary" and dict(got.dtypes)["evidence_uid"] == "string"
+    want = [r.u for r in rows.select("round", bundles.identity().alias("u")).orderBy("round").collect()]
+    assert [(r["round"], r.evidence_uid, r.citation) for r in got.orderBy("round").collect()] == [(k, u, c) for k, (u, c) in enumerate(zip(want, (1, 2, 3, 1), strict=True))]
