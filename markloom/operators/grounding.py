@@ -79,7 +79,8 @@ def question_grounding(questions: DataFrame, concepts: DataFrame, members: DataF
 
     reason is null where a question is grounded; only then terms(term, start, end, cid) and targets(level, target, phrase, start, end) are given."""
     sound = questions.select("question_id", "text").where(r"text rlike '\\S' and octet_length(text) <= " + str(MAX_BYTES))
-    sound = saved(sound, "questions")
+    # questions may come from one small file, which would be one task's work in each search below
+    sound = saved(sound.repartition(sound.sparkSession.sparkContext.defaultParallelism, "question_id"), "questions")
     borne = members.select("cid").distinct().withColumn("borne", F.lit(True))
     names = concepts.where("name <> ''").join(borne, "cid", "left").groupBy("name").agg(F.min("cid").alias("cid"), (F.min("cid") != F.max("cid")).alias("several"), F.bool_or(F.col("borne").isNotNull()).alias("borne"))
     spans = phrase_spans(sound, names.select(F.col("name").alias("phrase"))).withColumnRenamed("phrase", "name")

@@ -155,6 +155,30 @@ def runs(texts: list[str], border: Border, classes: Classes) -> tuple[np.ndarray
     return row, named, start - first[row], end - first[row]
 
 
+def places(texts: list[str], made: ahocorasick.Automaton, border: Border, classes: Classes, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, phrase, start, end): the automaton's finds in texts that a border lets pass, judged for all texts at once, as in runs."""
+    held, met, first, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        found = finds(made, text, apart)
+        if len(found[0]):
+            held.append(text), met.append((np.full(len(found[0]), k), *found)), first.append(np.full(len(found[0]), size))
+            size += len(text) + 1
+    if not held:
+        return (np.zeros(0, np.int64),) * 4
+    row, which, start, end = (np.concatenate(x) for x in zip(*met, strict=True))
+    at = np.concatenate(first)
+    good = border(Text("\n".join(held), classes), start + at, end + at)
+    return row[good], which[good], start[good], end[good]
+
+
+def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch, whose first column is a text, in pieces of some _TEXT_BYTES."""
+    size = np.cumsum(pa.compute.binary_length(whole.column(0)).to_numpy(zero_copy_only=False)) // _TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(whole)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        yield whole.slice(a, z - a)
+
+
 def scan(texts: DataFrame, phrases: DataFrame, border: Border, apart: bool, limit: int = DICTIONARY_BYTES) -> DataFrame:
     """texts' columns but text, with (phrase, start, end) of all finds of phrases(phrase) that a border lets pass.
 
@@ -172,10 +196,7 @@ def scan(texts: DataFrame, phrases: DataFrame, border: Border, apart: bool, limi
     def over_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes()
         for whole in batches:
-            size = np.cumsum(pa.compute.binary_length(whole.column(0)).to_numpy(zero_copy_only=False)) // _TEXT_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(whole)]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                batch = whole.slice(a, z - a)
+            for batch in _slices(whole):
                 row, named, start, end = runs(batch.column(0).to_pylist(), border, classes)
                 own = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*own.columns[1:], named, pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=arrow)
@@ -188,18 +209,11 @@ def scan(texts: DataFrame, phrases: DataFrame, border: Border, apart: bool, limi
             made, classes = automaton(phrases), Classes()
             if not phrases:
                 return
-            for batch in batches:
-                row, found = [], []
-                for k, text in enumerate(batch.column(0).to_pylist()):
-                    which, start, end = finds(made, text, apart)
-                    if len(which):
-                        good = border(Text(text, classes), start, end)
-                        found.append((which[good], start[good], end[good]))
-                        row.append(np.full(int(good.sum()), k))
-                if found:
-                    which, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-                    own = batch.take(pa.array(np.concatenate(row)))
-                    named = pa.array(phrases, pa.string()).take(pa.array(which))
+            for whole in batches:
+                for batch in _slices(whole):
+                    row, which, start, end = places(batch.column(0).to_pylist(), made, border, classes, apart)
+                    own = batch.take(pa.array(row))
+                    named = pa.array(phrases, pa.string()).take(pa.array(which)) if len(phrases) < len(which) else pa.array([phrases[w] for w in which.tolist()], pa.string())
                     yield pa.RecordBatch.from_arrays([*own.columns[1:], named, pa.array(start, pa.int32()), pa.array(end, pa.int32())], schema=arrow)
 
         return rows.mapInArrow(over, schema)
