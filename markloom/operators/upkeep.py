@@ -19,24 +19,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.operators import graph
+from markloom.functions import text as T
 from markloom.sources.files import saved
 
 _PAIR = ["scope", "a", "b"]
 _PRINT = ["e1", "e2", "c1", "c2"]
+_HAD = {"had_co_count": "bigint", "weight": "double", **{f"had_{p}": "bigint" for p in _PRINT}, "active": "boolean", "last_updated": "double"}
 
 
 @dataclass(frozen=True)
 class Version:
-    """counts(scope, n), frequency(scope, mark, frequency), beside(scope, a, b, c, seen), support(scope, a, b, co_count, prints), edges.
+    """counts(scope, n), frequency(scope, mark, frequency), beside(scope, a, b, c, seen), pairs.
 
-    beside has the marks a < b < c of records, support also pairs that no record shows any more (co_count 0) as long as they have prints."""
+    beside has the marks a < b < c of records. pairs(scope, a, b, co_count, prints) has in the same row what the pair has, or last had, as an
+    edge, so that no version joins its edges to the ones before; also pairs that no record shows any more (co_count 0) as long as they
+    have prints or were an edge."""
 
     counts: DataFrame
     frequency: DataFrame
     beside: DataFrame
-    support: DataFrame
-    edges: DataFrame
+    pairs: DataFrame
+
+    @property
+    def edges(self) -> DataFrame:
+        """(scope, a, b, co_count, weight, active, last_updated)."""
+        return self.pairs.where("last_updated is not null").select(*_PAIR, F.col("had_co_count").alias("co_count"), "weight", "active", "last_updated")
 
 
 def signed(come: DataFrame, go: DataFrame) -> DataFrame:
@@ -71,35 +78,38 @@ def _beside(before: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return sums.withColumn("seen", _whole(F.col("seen"), "context"))
 
 
-def _support(before: DataFrame | None, pairs: DataFrame, beside: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    come = pairs.select(*_PAIR, F.col("sign").cast("bigint").alias("co_count"))
+def _merged_pairs(before: DataFrame | None, pairs: DataFrame, beside: DataFrame) -> DataFrame:
+    """(scope, a, b, co_count, prints, and what the pair had as an edge) now; before is a version's pairs."""
+    zero, come = F.lit(0).cast("bigint"), pairs.select(*_PAIR, F.col("sign").cast("bigint").alias("co_count"))
     if before is None:
         first = come.groupBy(*_PAIR).agg(F.sum("co_count").alias("co_count")).withColumn("co_count", _whole(F.col("co_count"), "support")).where("co_count > 0")
-        return first.select("*", *[zero.alias(p) for p in _PRINT])
+        return first.select("*", *[zero.alias(p) for p in _PRINT], *[F.lit(None).cast(t).alias(c) for c, t in _HAD.items()])
     shown = pairs.select(*_PAIR, F.col("sign").cast("bigint").alias("co_count"), *[_hash("record_id", k).alias(f"e{k}") for k in (1, 2)], zero.alias("c1"), zero.alias("c2"))
     turns = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("mark")) for x, y, z in ("abc", "acb", "bca")])
     crossed = beside.where((F.col("seen") > 0) != (F.col("was") > 0)).select("scope", F.explode(turns).alias("t")).select("scope", "t.a", "t.b", zero.alias("co_count"), zero.alias("e1"), zero.alias("e2"), *[_hash("t.mark", k).alias(f"c{k}") for k in (1, 2)])
-    sums = shown.unionByName(crossed).unionByName(before).groupBy(*_PAIR).agg(F.sum("co_count").alias("co_count"), *[F.bit_xor(p).alias(p) for p in _PRINT])
-    kept = F.col("co_count") > 0
+    every = shown.unionByName(crossed).unionByName(before, allowMissingColumns=True)
+    # a pair has one row before at most, whose edge is the only one in its group
+    sums = every.groupBy(*_PAIR).agg(F.sum("co_count").alias("co_count"), *[F.bit_xor(p).alias(p) for p in _PRINT], *[F.max(c).alias(c) for c in _HAD])
+    return sums.withColumn("co_count", _whole(F.col("co_count"), "support"))
+
+
+def _judged(pairs: DataFrame, frequency: DataFrame, counts: DataFrame, at: float) -> DataFrame:
+    """pairs with what each has as an edge after this version; those without records, prints and edge are left out."""
+    f = lambda end: frequency.select("scope", F.col("mark").alias(end), F.col("frequency").alias(f"f{end}"))
+    met = pairs.join(f("a"), ["scope", "a"], "left").join(f("b"), ["scope", "b"], "left").join(counts, "scope", "left")
+    raw = F.when(F.col("co_count") > 0, T.npmi(F.col("co_count"), F.col("fa"), F.col("fb"), F.col("n")))
+    met = met.withColumn("raw", raw).withColumn("fresh", F.when(F.col("raw") > 0, F.round("raw", 4)))
+    now, known, time = F.col("fresh").isNotNull(), F.col("last_updated").isNotNull(), F.lit(float(at))
+    new = {"had_co_count": F.col("co_count"), "weight": F.col("fresh"), **{f"had_{p}": F.col(p) for p in _PRINT}}
+    same = F.lit(True)
+    for c, value in new.items():
+        same = same & (F.col(c) == value)
+    updated = F.when(now & ~known, time).when(now & ~same, F.greatest(F.col("last_updated"), time)).otherwise(F.col("last_updated"))
+    kept = (F.col("co_count") > 0) | now | known
     for p in _PRINT:
         kept = kept | (F.col(p) != 0)
-    return sums.withColumn("co_count", _whole(F.col("co_count"), "support")).where(kept)
-
-
-def _edges(before: DataFrame | None, now: DataFrame, at: float) -> DataFrame:
-    time = F.lit(float(at))
-    if before is None:
-        return now.withColumn("active", F.lit(True)).withColumn("last_updated", time)
-    values = ["co_count", "weight", *_PRINT]
-    fresh = now.select(*_PAIR, *[F.col(c).alias(f"new_{c}") for c in values])
-    met = before.join(fresh, _PAIR, "full_outer")
-    active, known = F.col("new_co_count").isNotNull(), F.col("last_updated").isNotNull()
-    same = F.lit(True)
-    for c in values:
-        same = same & (F.col(c) == F.col(f"new_{c}"))
-    updated = F.when(~known, time).when(active & ~same, F.greatest(F.col("last_updated"), time)).otherwise(F.col("last_updated"))
-    return met.select(*_PAIR, *[F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) for c in values], active.alias("active"), updated.alias("last_updated"))
+    values = [F.when(now, value).otherwise(F.col(c)).alias(c) for c, value in new.items()]
+    return met.where(kept).select(*_PAIR, "co_count", *_PRINT, *values, F.when(now | known, now).alias("active"), updated.alias("last_updated"))
 
 
 def advanced(version: Version | None, records: DataFrame, marks: DataFrame, at: float) -> Version:
@@ -112,6 +122,5 @@ def advanced(version: Version | None, records: DataFrame, marks: DataFrame, at:
     counts = saved(_merged(v and v.counts, records.select("scope", F.col("sign").cast("bigint").alias("n")), ["scope"], "n"), "counts")
     frequency = saved(_merged(v and v.frequency, marks.select("scope", "mark", F.col("sign").cast("bigint").alias("frequency")), ["scope", "mark"], "frequency"), "frequency")
     beside = saved(_beside(v and v.beside, pairs), "beside")
-    support = saved(_support(v and v.support, pairs, beside), "support")
-    now = graph.weighed(support.where("co_count > 0"), frequency, counts).select(*_PAIR, "co_count", "weight", *_PRINT)
-    return Version(counts, frequency, beside.where("seen > 0").drop("was"), support, saved(_edges(v and v.edges, now, at), "edges"))
+    merged = saved(_judged(_merged_pairs(v and v.pairs, pairs, beside), frequency, counts, at), "pairs")
+    return Version(counts, frequency, beside.where("seen > 0").drop("was"), merged)
